@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from onoma.llm.bpe import op1_bpe
 from onoma.llm.line_runs import OP7_SQL, op7_line_dedup
+from onoma.llm.ogg import op8_media
 from onoma.llm.sharding import op2_sharding
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op7_line_dedup": op7_line_dedup,
+    "op8_media": op8_media,
 }
 ORACLES = {"op7_line_dedup": OP7_SQL}
