@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from onoma.llm.bpe import op1_bpe
+from onoma.llm.decontaminate import OP10_SQL, op10_decontamination
+from onoma.llm.language_id import op9_language_id
 from onoma.llm.line_runs import OP7_SQL, op7_line_dedup
 from onoma.llm.ogg import op8_media
 from onoma.llm.sharding import op2_sharding
@@ -12,5 +14,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op7_line_dedup": op7_line_dedup,
     "op8_media": op8_media,
+    "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLES = {"op7_line_dedup": OP7_SQL}
+ORACLES = {"op7_line_dedup": OP7_SQL, "op10_decontamination": OP10_SQL}
