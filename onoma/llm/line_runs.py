@@ -83,13 +83,16 @@ class LineRuns:
         runs = self.merged()
         hot_from = (runs.agg(F.sum("n_docs")).first()[0] or 0) / HOT_SHARE
         drop = runs.filter(F.col("n_docs") >= min_docs)
-        hot = drop.filter(F.col("n_docs") >= hot_from).select("h1", "h2", "max_doc")
+        hot = drop.filter(F.col("n_docs") >= hot_from).select("h1", "h2", F.col("max_doc").alias("hot_max"))
         cold = drop.filter(F.col("n_docs") < hot_from).select("h1", "h2", "max_doc")
-        lines = _lines(docs, self.min_chars)
-        # hot keys: HOT_SHARE of them at most, so this broadcast is bounded and their rows stay where they are
-        by_hot = lines.join(F.broadcast(hot), ["h1", "h2"])
-        by_cold = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"])
-        found = by_hot.unionByName(by_cold).filter(F.col("__d") < F.col("max_doc"))
+        # Hot keys number HOT_SHARE at most, so this broadcast is bounded; their rows are then dealt out
+        # by document instead of by key, and meet no cold key because a stray hash is in no run.
+        lines = _lines(docs, self.min_chars).join(F.broadcast(hot), ["h1", "h2"], "left")
+        is_hot = F.col("hot_max").isNotNull()
+        spread = lines.withColumn("h1", F.when(is_hot, F.xxhash64("__d", "__t", "pos")).otherwise(F.col("h1")))
+        joined = spread.join(cold, ["h1", "h2"], "left")
+        keeper = F.coalesce("hot_max", "max_doc")
+        found = joined.filter(F.col("__d") < keeper)
         return found.groupBy("__d", "__t").agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
 
 
