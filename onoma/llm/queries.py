@@ -8,12 +8,14 @@ from onoma.llm.language_id import op9_language_id
 from onoma.llm.line_runs import OP7_SQL, op7_line_dedup
 from onoma.llm.ogg import op8_media
 from onoma.llm.pii import op3_pii
+from onoma.llm.quality_crf import op4_quality
 from onoma.llm.sharding import op2_sharding
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op3_pii": op3_pii,
+    "op4_quality": op4_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_media": op8_media,
     "op9_language_id": op9_language_id,
