@@ -89,7 +89,7 @@ def shingle_sets(docs: DataFrame, words: int, threshold: tuple[int, int]) -> Dat
     tokens: the set's tokens in the counted part of the hash space; more: as many of its other
     tokens, smallest first, as its prefix needs beyond them. Empty sets have sid null.
     """
-    edge = np.uint64(int(sampled(threshold) * (2**64 - 1)))
+    edge = np.uint64(min(int(sampled(threshold) * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
