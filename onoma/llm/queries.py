@@ -5,6 +5,7 @@ from __future__ import annotations
 from onoma.llm.bpe import op1_bpe
 from onoma.llm.decontaminate import OP10_SQL, op10_decontamination
 from onoma.llm.jaccard_join import OP6_SQL, op6_jaccard_join
+from onoma.llm.kneser_ney import op5_kneser_ney
 from onoma.llm.language_id import op9_language_id
 from onoma.llm.line_runs import OP7_SQL, op7_line_dedup
 from onoma.llm.ogg import op8_media
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_media": op8_media,
