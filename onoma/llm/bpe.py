@@ -15,6 +15,7 @@ import json
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ SHORT_WORD = 128
 #: Words kept by a worker's cache before it starts afresh.
 CACHE_WORDS = 400_000
 NO_RANK = 1 << 60
+#: Texts whose ids are held at a time.
+BATCH = 1000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -177,8 +180,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, *, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            packed = [c.encode_packed(t or "") for t in b.column(b.schema.names.index(text_col)).to_pylist()]
-            ids = pa.array([memoryview(p).cast("I").tolist() for p in packed], pa.list_(pa.int32()))
+            ids = _lists([c.encode_packed(t or "") for t in b.column(b.schema.names.index(text_col)).to_pylist()])
             keep = [n for n in b.schema.names if n != "ids"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), ids], [*keep, "ids"])
 
@@ -201,29 +203,37 @@ def decode_documents(tokens: DataFrame, vocabulary: str | None = None, *, ids_co
     return tokens.mapInArrow(run, f"{fields}, decoded string")
 
 
-def round_trip_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, without moving the ids."""
+def round_trip_digests(docs: DataFrame, vocabulary: str | None = None, *, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text (null: empty); the ids if kept."""
     path = vocabulary or default_vocabulary()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            n, ids, back = [], [], []
-            for text in b.column(1):
-                packed = c.encode_packed(text.as_py() or "")
-                n.append(len(packed) // 4)
-                ids.append(hashlib.sha256(packed).hexdigest())
-                decoded = c.decode_bytes(packed).decode("utf-8", "replace")
-                back.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BATCH):
+                b = whole.slice(lo, BATCH)
+                n, ids, back, packs = [], [], [], []
+                for text in b.column(1):
+                    packed = c.encode_packed(text.as_py() or "")
+                    n.append(len(packed) // 4)
+                    ids.append(hashlib.sha256(packed).hexdigest())
+                    decoded = c.decode_bytes(packed).decode("utf-8", "replace")
+                    back.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    packs.append(packed if keep_ids else b"")
+                cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays([*cols, *[_lists(packs)] * keep_ids], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    ddl = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+
+
+def _lists(packs: list[bytes]) -> pa.Array:
+    """Packed ids as an Arrow column of lists, without a Python object for each id."""
+    ends = [0, *accumulate(len(p) // 4 for p in packs)]
+    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packs))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
