@@ -4,6 +4,9 @@ Documents become sets of word shingles. Equal sets are folded into one. Shingles
 rare ones first, and sets that reach the threshold must share a shingle among the first few of each;
 sets whose first shingles occur nowhere else drop out there.
 
+That is done twice: with a sample of the hash space for all sets, to find the few that may meet at
+all, and with all tokens for those.
+
 The rest is partitioned into groups of similar sets. A group stores its token union and, for every
 token, the members that have it: the rows of the token-group matrix. Groups are linked up inside
 first; what remains are queries, sets that share a first shingle with a group they are not in. A
@@ -28,6 +31,8 @@ THRESHOLD = (90, 100)
 #: Members of a group that are worked off at a time, queries that meet them at a time.
 MEMBERS = 192
 QUERIES = 256
+#: Ids (of 32 bytes) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 CACHE_WORDS = 400_000
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,59 +83,87 @@ def prefix_length(n: int, threshold: tuple[int, int]) -> int:
 
 
 def sampled(threshold: tuple[int, int]) -> float:
-    """Share of the hash space whose tokens are counted and come first; the first tokens fit in it with room."""
+    """Share of the hash space whose tokens are counted first; a set's first tokens fit in it with room."""
     num, den = threshold
-    return min(1.0, 2.2 * (1 - num / den) + 0.03)
+    return min(1.0, 1.5 * (1 - num / den) + 0.02)
 
 
-def shingle_sets(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """(doc_id, th, n, sid, tokens, more) of every row.
+_SETS = "n long, tokens array<long>, more array<long>, keys array<long>"
+_SPREAD = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
+
+
+def _set_columns(sets: list[np.ndarray], share: float, threshold: tuple[int, int]) -> list[pa.Array]:
+    """_SETS of every set.
 
-    tokens: the set's tokens in the counted part of the hash space; more: as many of its other
-    tokens, smallest first, as its prefix needs beyond them. Empty sets have sid null.
+    tokens: those in the counted part of the hash space; more: as many of the others, smallest first,
+    as the set's prefix needs beyond them; keys: four min-hashes of the whole set.
     """
-    edge = np.uint64(min(int(sampled(threshold) * 2**64), 2**64 - 1))
+    edge = np.uint64(min(int(share * 2**64), 2**64 - 1))
+    n, first, more, keys = [], [], [], []
+    for s in sets:
+        n.append(len(s))
+        cut = int(np.searchsorted(s, edge, "right"))
+        need = prefix_length(len(s), threshold) if len(s) else 0
+        first.append(s[:cut].view(np.int64))
+        more.append(s[cut : max(cut, need)].view(np.int64))
+        keys.append(np.array([s[0], s[-1], *((s * m).min() for m in _SPREAD)], np.uint64).view(np.int64) if len(s) else np.zeros(0, np.int64))
+    longs = pa.list_(pa.int64())
+    return [pa.array(n, pa.int64()), pa.array(first, longs), pa.array(more, longs), pa.array(keys, longs)]
+
+
+def shingle_sets(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """(doc_id, th, sid and _SETS, tokens sampled) of every row. Empty sets have sid null."""
+    share = sampled(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sid, first, more = [], [], [], []
-            for t in b.column(2):
-                s = shingles(t.as_py(), words)
-                n.append(len(s))
-                sid.append(set_id(s) if len(s) else None)
-                cut = int(np.searchsorted(s, edge, "right"))
-                need = prefix_length(len(s), threshold) if len(s) else 0
-                first.append(s[:cut].view(np.int64))
-                more.append(s[cut : max(cut, need)].view(np.int64))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(first, longs), pa.array(more, longs)],
-                ["doc_id", "th", "n", "sid", "tokens", "more"],
-            )
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                sets = [shingles(t.as_py(), words) for t in part.column(2)]
+                sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+                cols = _set_columns(sets, share, threshold)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sid, *cols], ["doc_id", "th", "sid", "n", "tokens", "more", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, n long, sid long, tokens array<long>, more array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, sid long, {_SETS}")
+
+
+def whole_sets(texts: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """(sid and _SETS, all tokens) of (sid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                cols = _set_columns([shingles(t.as_py(), words) for t in part.column(1)], 1.0, threshold)
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["sid", "n", "tokens", "more", "keys"])
+
+    return texts.select("sid", "text").mapInArrow(run, f"sid long, {_SETS}")
 
 
 def first_tokens(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(sid, n, token): the first tokens of every set, without those that only one set has.
+    """(sid, n, keys, token, pos): the first tokens of every set that are first tokens of another one too.
 
-    Order: counted tokens by (sets that have them, hash), then the others by hash.
+    Order: counted tokens by (sets that have them, hash), then the others by hash; pos counts from 1.
+    Tokens that only one set has come first and take up places, but lead nowhere and are left out.
     """
     num, den = threshold
     counted = sets.select("sid", F.explode("tokens").alias("token"))
     df = counted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
     common = counted.join(df.hint("shuffle_hash"), "token")
     lists = common.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
-    # a set whose prefix is all tokens of its own never meets another
     need = F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1
-    joined = sets.select("sid", "n", F.size("tokens").alias("a"), "more").join(lists, "sid", "left")
-    room = F.greatest(F.lit(0), need - (F.col("a") - F.coalesce(F.size("common"), F.lit(0)))).cast("int")
+    joined = sets.select("sid", "n", "keys", F.size("tokens").alias("a"), "more").join(lists, "sid", "left")
+    own = F.col("a") - F.coalesce(F.size("common"), F.lit(0))
+    room = F.greatest(F.lit(0), need - own).cast("int")
     some = F.when(F.col("common").isNull(), F.array().cast("array<long>")).otherwise(
         F.transform(F.slice("common", F.lit(1), room), lambda x: x["token"])
     )
-    return joined.select("sid", "n", F.explode(F.concat(some, "more")).alias("token"))
+    first = joined.select("sid", "n", "keys", own.alias("own"), F.posexplode(F.concat(some, "more")).alias("at", "token"))
+    first = first.select("sid", "n", "keys", "token", (F.col("own") + F.col("at") + 1).alias("pos"))
+    met = first.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token")
+    return first.join(met, "token")
 
 
 class GroupMatrix:
@@ -208,13 +241,12 @@ def _open_group(words: int, threshold: tuple[int, int]):
 
 
 def _inner_links(first: DataFrame, texts: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links inside groups of sets that agree in the smallest of their first tokens.
+    """Links inside groups of sets that share a min-hash: four partitions of the sets by likeness.
 
-    Two such keys (the smallest and the largest hash) give two partitions. A large group is dealt out
-    in parts of MEMBERS, each with the group's smallest set in it, so parts of one kind join up.
+    A large group is dealt out in parts of MEMBERS, each with the group's smallest set in it, so that
+    parts of one kind join up.
     """
-    keys = first.groupBy("sid").agg(F.min("token").alias("lo"), F.max("token").alias("hi"))
-    keyed = keys.select("sid", F.explode(F.array(F.struct(F.lit(0).alias("r"), F.col("lo").alias("key")), F.struct(F.lit(1).alias("r"), F.col("hi").alias("key")))).alias("k")).select("sid", "k.r", "k.key")
+    keyed = first.select("sid", "keys").dropDuplicates(["sid"]).select("sid", F.posexplode("keys").alias("r", "key"))
     groups = keyed.groupBy("r", "key").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("leader")).filter("size > 1")
     groups = groups.withColumn("parts", F.ceil(F.col("size") / MEMBERS).cast("int"))
     members = keyed.join(groups, ["r", "key"])
@@ -224,32 +256,39 @@ def _inner_links(first: DataFrame, texts: DataFrame, words: int, threshold: tupl
     return rows.groupBy("r", "key", "part").applyInArrow(_link_members(words, threshold), LINK)
 
 
-def _outer_links(first: DataFrame, parts: DataFrame, texts: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """Links between sets of different groups that share a first token: the queries."""
+def _outer_links(first: DataFrame, labels: DataFrame, texts: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links between sets of different groups that share a first token: the queries.
+
+    A group is kept in parts of MEMBERS. A set asks a part only if a first token of both leaves room
+    for the threshold: what they share begins at their first common token, so it can't be more than
+    what either has from there on.
+    """
     num, den = threshold
-    labelled = first.join(parts, "sid", "left").withColumn("g", F.coalesce("label", "sid")).select("sid", "n", "token", "g")
-    stats = labelled.select("sid", "n", "g").distinct().groupBy("g").agg(
-        F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most")
+    labelled = first.select("sid", "n", "token", "pos").join(labels, "sid", "left").withColumn("g", F.coalesce("label", "sid")).drop("label")
+    sizes = labelled.select("sid", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    met = labelled.select("token", "g").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("gs")).filter("gs > 1")
+    part = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / MEMBERS)).cast("int")
+    shared = labelled.join(met.select("token"), "token").join(sizes, "g").withColumn("part", part)
+    shared = checkpointed(shared.withColumn("rest", F.col("n") - F.col("pos") + 1))
+    there = shared.groupBy("token", F.col("g").alias("to"), F.col("size").alias("to_size"), F.col("part").alias("to_part")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("most_rest")
     )
-    at_token = labelled.select("token", "g").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("gs")).filter("gs > 1")
-    shared = checkpointed(labelled.join(at_token.select("token"), "token").join(stats, "g"))
-    there = shared.select("token", F.col("g").alias("to"), F.col("size").alias("to_size"), "least", "most").distinct()
-    # the smaller group's sets are the queries; sizes out of reach never link
-    asks = shared.select("token", "sid", "n", "g", "size").join(there, "token").filter(
+    # the smaller group's sets are the queries
+    asks = shared.select("token", "sid", "n", "rest", "g", "size").join(there, "token").filter(
         (F.col("g") != F.col("to"))
         & (F.struct("size", "g") < F.struct(F.col("to_size"), F.col("to")))
         & (den * F.col("most") >= num * F.col("n"))
         & (num * F.col("least") <= den * F.col("n"))
+        & ((num + den) * F.least("rest", "most_rest") >= num * (F.col("n") + F.col("least")))
+    )
+    asks = checkpointed(asks.select("sid", F.col("to").alias("g"), F.col("to_part").alias("part")).distinct())
+    turns = asks.groupBy("g", "part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("turns"))
+    queries = asks.join(turns, ["g", "part"]).select(
+        "g", "part", F.pmod(F.xxhash64("sid"), F.col("turns")).cast("int").alias("turn"), "sid", F.lit(True).alias("query")
     )
-    asks = checkpointed(asks.select("sid", F.col("to").alias("g"), "to_size").distinct())
-    counts = asks.groupBy("g", "to_size").agg(F.count(F.lit(1)).alias("asked"))
-    plan = counts.withColumn("parts", F.ceil(F.col("to_size") / MEMBERS).cast("int")).withColumn("turns", F.ceil(F.col("asked") / QUERIES).cast("int"))
-    plan = plan.select("g", "parts", "turns")
-    h = lambda of: F.pmod(F.xxhash64("sid"), F.col(of)).cast("int")
-    upto = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    queries = asks.join(plan, "g").select("g", upto("parts").alias("part"), h("turns").alias("turn"), "sid", F.lit(True).alias("query"))
-    own = labelled.select("sid", "g").distinct().join(plan, "g").select(
-        "g", h("parts").alias("part"), upto("turns").alias("turn"), "sid", F.lit(False).alias("query")
+    members = labelled.select("sid", "g").distinct().join(sizes, "g").select("sid", "g", part.alias("part"))
+    own = members.join(turns, ["g", "part"]).select(
+        "g", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "sid", F.lit(False).alias("query")
     )
     rows = queries.union(own).join(texts, "sid")
     return rows.groupBy("g", "part", "turn").applyInArrow(_open_group(words, threshold), LINK)
@@ -269,25 +308,24 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, threshold: tuple[
     """
     rows = checkpointed(shingle_sets(docs.select("doc_id", "text"), words, threshold))
     some = rows.filter(F.col("sid").isNotNull())
-    sets = checkpointed(
-        some.groupBy("sid").agg(
-            F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("more").alias("more"),
-            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("source"),
-        )
-    )
-    first = first_tokens(sets, threshold)
-    meeting = first.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token")
-    first = checkpointed(first.join(meeting, "token"))
-    wanted = first.select("sid").distinct().join(sets.select("sid", "source.doc_id", "source.th"), "sid")
+    source = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("source")
+    sampled_sets = some.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "more", "keys")])
+    sets = some.groupBy("sid").agg(source)
+    may_meet = first_tokens(sampled_sets, threshold).select("sid").distinct()
+    wanted = checkpointed(may_meet.join(sets.select("sid", "source.doc_id", "source.th"), "sid"))
     with_hash = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), "text")
     same = with_hash["doc_id"].eqNullSafe(wanted["doc_id"]) & (with_hash["th"] == wanted["th"])
+    # a broadcast only if its rows are few by count; else the documents move once
+    few = wanted.count() <= BROADCAST_ROWS
     texts = checkpointed(
-        with_hash.join(wanted.hint("shuffle_hash"), same).groupBy("sid").agg(F.first("text").alias("text"))
+        with_hash.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), same).groupBy("sid").agg(F.first("text").alias("text"))
     )
+    first = checkpointed(first_tokens(whole_sets(texts, words, threshold), threshold))
     inner = checkpointed(_inner_links(first, texts, words, threshold))
-    parts = connected_components(inner).withColumnRenamed("node", "sid")
-    outer = checkpointed(_outer_links(first, parts, texts, words, threshold))
-    labels = connected_components(inner.union(outer)).withColumnRenamed("node", "sid") if not outer.isEmpty() else parts
+    labels = connected_components(inner).withColumnRenamed("node", "sid")
+    outer = checkpointed(_outer_links(first, labels, texts, words, threshold))
+    if not outer.isEmpty():
+        labels = connected_components(inner.union(outer)).withColumnRenamed("node", "sid")
     named = sets.select("sid", "source.doc_id").join(labels, "sid", "left")
     named = named.select("sid", "doc_id", F.coalesce("label", "sid").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
