@@ -16,33 +16,31 @@ ASCII = r"^[\x00-\x7F]*$"
 _DROPPED = [*vocab.HONORIFICS, *vocab.SUFFIXES, *vocab.NOISE]
 
 
-def normalized(folded: Column, raw: Column) -> Column:
-    """The struct (raw, tokens, canonical, dropped, initials, unreadable) of a folded name."""
+def with_normalized(df: DataFrame, folded: str, raw: Column, out: str) -> DataFrame:
+    """Add ``out``: struct (raw, tokens, canonical, dropped, initials, unreadable) of the folded name.
+
+    Each step is a column of its own that later steps use more than once, so the optimiser keeps it
+    and a long name costs its length, not the square of it.
+    """
     markers = "(" + "|".join(vocab.SLASH_QUALIFIERS) + ")"
-    spread = F.regexp_replace(F.lower(folded), markers, " $1 ")
-    parts = F.filter(F.split(spread, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
-    unreadable = F.filter(parts, lambda t: t.rlike(r"[\p{L}&&[^\x00-\x7F]]"))
-    keyed = F.transform(
-        parts,
-        lambda t: F.struct(
-            F.when(t.isin(vocab.SLASH_QUALIFIERS), t).otherwise(F.regexp_replace(t, "[^a-z0-9]+", "")).alias("k"),
-        ),
-    )
-    items = F.filter(keyed, lambda x: x["k"] != "")
     qualifiers = [*vocab.SLASH_QUALIFIERS, *vocab.SPELLED_QUALIFIERS]
-    cut = F.array_position(F.transform(items, lambda x: x["k"].isin(qualifiers)), True)
-    stays = lambda x, i: ((cut == 0) | (i < cut - 1)) & ~x["k"].isin(_DROPPED)
-    tokens = F.transform(F.filter(items, stays), lambda x: x["k"])
-    dropped = F.transform(F.filter(items, lambda x, i: ~stays(x, i)), lambda x: x["k"])
-    places = F.transform(tokens, lambda t, i: F.when(t.rlike("^[a-z]$"), i))
-    return F.struct(
+    spread = F.regexp_replace(F.lower(folded), markers, " $1 ")
+    key = lambda t: F.when(t.isin(vocab.SLASH_QUALIFIERS), t).otherwise(F.regexp_replace(t, "[^a-z0-9]+", ""))
+    df = df.withColumn("__parts", F.filter(F.split(spread, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != ""))
+    df = df.withColumn("__items", F.filter(F.transform("__parts", key), lambda k: k != ""))
+    df = df.withColumn("__cut", F.array_position(F.transform("__items", lambda k: k.isin(qualifiers)), True))
+    stays = lambda k, i: ((F.col("__cut") == 0) | (i < F.col("__cut") - 1)) & ~k.isin(_DROPPED)
+    df = df.withColumns({"__tokens": F.filter("__items", stays), "__dropped": F.filter("__items", lambda k, i: ~stays(k, i))})
+    places = F.transform("__tokens", lambda t, i: F.when(t.rlike("^[a-z]$"), i))
+    norm = F.struct(
         raw.alias("raw"),
-        tokens.alias("tokens"),
-        F.transform(tokens, native.canonical_token).alias("canonical"),
-        dropped.alias("dropped"),
+        F.col("__tokens").alias("tokens"),
+        F.transform("__tokens", native.canonical_token).alias("canonical"),
+        F.col("__dropped").alias("dropped"),
         F.filter(places, lambda i: i.isNotNull()).alias("initials"),
-        unreadable.alias("unreadable"),
+        F.filter("__parts", lambda t: t.rlike(r"[\p{L}&&[^\x00-\x7F]]")).alias("unreadable"),
     )
+    return df.withColumn(out, norm).drop("__parts", "__items", "__cut", "__tokens", "__dropped")
 
 
 def fold_names(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -56,7 +54,7 @@ def fold_names(df: DataFrame, col: str, out: str) -> DataFrame:
 def normalize_names(df: DataFrame, col: str = "name", out: str = "norm") -> DataFrame:
     """Add the struct ``out`` for every row. A null name is an empty one and has no tokens."""
     folded = fold_names(df, col, "__folded")
-    return folded.withColumn(out, normalized(F.col("__folded"), F.coalesce(F.col(col), F.lit("")))).drop("__folded")
+    return with_normalized(folded, "__folded", F.coalesce(F.col(col), F.lit("")), out).drop("__folded")
 
 
 def is_empty(norm: Column) -> Column:
