@@ -16,20 +16,25 @@ from onoma.functions.kernels import pair_kernels_udf, token_codes_udf
 from onoma.operators.normalize import normalize_names
 
 
-def sides(names: DataFrame, col: str = "name") -> DataFrame:
-    """(name, side) of distinct names: the normalised struct and its tokens with phonetic codes."""
-    norm = normalize_names(names.select(F.coalesce(F.col(col), F.lit("")).alias("name")).distinct(), "name")
-    coded = norm.withColumns({"__t": token_codes_udf("norm.tokens"), "__c": token_codes_udf("norm.canonical")})
+def with_side(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Add ``out``: the normalised struct of the name and its tokens with phonetic codes. Row by row."""
+    norm = normalize_names(df, col, "__norm")
+    coded = norm.withColumns({"__t": token_codes_udf("__norm.tokens"), "__c": token_codes_udf("__norm.canonical")})
     word = lambda w, codes, i: F.struct(w.alias("word"), native.soundex(w).alias("sx"), F.get(codes, i).alias("mp"))
     toks = F.transform(
-        F.col("norm.tokens"),
+        F.col("__norm.tokens"),
         lambda t, i: F.struct(
             word(t, F.col("__t"), i).alias("t"),
-            word(F.get(F.col("norm.canonical"), i), F.col("__c"), i).alias("c"),
-            F.array_contains(F.col("norm.initials"), i).alias("initial"),
+            word(F.get(F.col("__norm.canonical"), i), F.col("__c"), i).alias("c"),
+            F.array_contains(F.col("__norm.initials"), i).alias("initial"),
         ),
     )
-    return coded.select("name", F.col("norm").withField("toks", toks).alias("side"))
+    return coded.withColumn(out, F.col("__norm").withField("toks", toks)).drop("__norm", "__t", "__c")
+
+
+def sides(names: DataFrame, col: str = "name") -> DataFrame:
+    """(name, side) of distinct names."""
+    return with_side(names.select(F.coalesce(F.col(col), F.lit("")).alias("name")).distinct(), "name", "side")
 
 
 def token_similarity(x: Column, y: Column, osa: Column) -> Column:
