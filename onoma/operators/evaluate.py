@@ -42,6 +42,12 @@ def validate(scored: DataFrame) -> DataFrame:
     return scored
 
 
+def score_all(rows: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    """Rows once for each scorer: (algorithm, score) and all columns of ``rows``."""
+    each = F.array(*[F.struct(F.lit(k).alias("algorithm"), c.cast("double").alias("score")) for k, c in scores.items()])
+    return rows.select("*", F.explode(each).alias("__x")).select("__x.algorithm", "__x.score", *rows.columns)
+
+
 def _ratio(a: Column, b: Column, otherwise: float) -> Column:
     return F.when(b != 0, a / F.nullif(b, F.lit(0)).cast("double")).otherwise(F.lit(otherwise))
 

@@ -65,6 +65,15 @@ def undecidable(norm: Column) -> Column:
     return F.size(norm["unreadable"]) > 0
 
 
+def text(norm: Column) -> Column:
+    return F.array_join(norm["tokens"], " ")
+
+
+def canonical_for(norm: Column, i: Column | int) -> Column:
+    """Canonical form of the i-th token, null beyond the last."""
+    return F.get(norm["canonical"], F.lit(i) if isinstance(i, int) else i)
+
+
 def canonical_text(norm: Column) -> Column:
     return F.array_join(norm["canonical"], " ")
 

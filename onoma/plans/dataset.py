@@ -490,8 +490,20 @@ def control_rows(people_df: DataFrame, taken: DataFrame, size: int = CONTROL_ROW
     return once.orderBy("ord_a").limit(size)
 
 
+_BUILT: list[tuple] = []
+
+
 def labelled_pairs(spark: SparkSession) -> DataFrame:
-    """The whole set, in order: positives, held-out spellings, negatives, control group; ids N0001 on."""
+    """The whole set, in order: positives, held-out spellings, negatives, control group; ids N0001 on.
+
+    It depends on the roster alone, so a process builds it once.
+    """
+    if not _BUILT:
+        _BUILT.extend(_build(spark))
+    return spark.createDataFrame(_BUILT, PAIR_SCHEMA)
+
+
+def _build(spark: SparkSession) -> list[tuple]:
     people_df = roster(spark)
     shapes = negative_shapes(people_df)
     found = shapes.orderBy("ord_a", "ord_b", "seq").collect()
@@ -503,8 +515,7 @@ def labelled_pairs(spark: SparkSession) -> DataFrame:
         raise ValueError("a held-out pair is also a negative")
     own = positive_rows(reserved | {unordered(r[0], r[1]) for r in held})
     rows = [(a, b, 1, p, p, c, d) for a, b, p, c, d in own + held] + negatives
-    said = [(f"N{n:04d}", *r, f"{r[0]!r} vs {r[1]!r}: {CATEGORIES[r[5]]}") for n, r in enumerate(rows, 1)]
-    return spark.createDataFrame(said, PAIR_SCHEMA)
+    return [(f"N{n:04d}", *r, f"{r[0]!r} vs {r[1]!r}: {CATEGORIES[r[5]]}") for n, r in enumerate(rows, 1)]
 
 
 def integrity(pairs: DataFrame) -> DataFrame:

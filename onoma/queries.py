@@ -673,3 +673,83 @@ def unordered_pairs(spark, sf_dir):
 def pairs_without_shared_token(spark, sf_dir):
     p = name_pairs(spark, sf_dir)
     return p.join(blocking.candidates(part_names(spark, sf_dir), "s", keys=("token",)), ["a", "b"], "left_anti")
+
+
+# ---- the published evaluation: every expected value below is a published one (fixed values) ----
+
+PUBLISHED_POINTS = """
+learned 0.174 61 1 0.695 0.993 0.818 0.895 0.964 0.092
+token_aligned 0.397 71 5 0.655 0.964 0.780 0.801 0.925 0.530
+phonetic_jaro 0.421 83 5 0.619 0.964 0.754 0.824 0.931 0.717
+exact_normalized 0.717 354 0 0.283 1.000 0.442 0.544 0.722 0.000
+token_jaccard 0.717 354 0 0.283 1.000 0.442 0.706 0.865 0.000
+"""
+PUBLISHED_PRECISION = """
+learned 0.850 0.845 0.838 0.836 0.695
+token_aligned 0.829 0.826 0.702 0.655 0.310
+phonetic_jaro 0.854 0.806 0.764 0.675 0.340
+exact_normalized 0.283 0.283 0.283 0.283 0.283
+token_jaccard 0.810 0.642 0.463 0.283 0.283
+"""
+PUBLISHED_SWEEP = """
+learned 0.067 0.085 0.097 0.128 0.174 0.200 0.200
+token_aligned 0.107 0.174 0.194 0.245 0.397 0.650 0.650
+phonetic_jaro 0.107 0.158 0.200 0.269 0.421 0.628 0.688
+exact_normalized 0.176 0.468 0.717 0.717 0.717 0.717 0.717
+token_jaccard 0.158 0.281 0.383 0.490 0.717 0.717 0.717
+"""
+PUBLISHED_BANDS = """
+learned 40 199 255
+token_aligned 53 408 33
+phonetic_jaro 76 404 14
+exact_normalized 83 411 0
+token_jaccard 83 411 0
+"""
+
+
+def _rows(text: str) -> list[list[str]]:
+    return [line.split() for line in text.strip().splitlines()]
+
+
+def _values(rows: list[list[str]], columns: str) -> str:
+    cells = ", ".join("(" + ", ".join(f"'{x}'" if not x[0].isdigit() else (f"{x}::DOUBLE" if "." in x else f"{x}::BIGINT") for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {cells}) AS t({columns})"
+
+
+def _long(text: str, across: tuple) -> list[list[str]]:
+    return [[r[0], str(float(c)), v] for r in _rows(text) for c, v in zip(across, r[1:], strict=True)]
+
+
+def _published_scores(spark: SparkSession) -> DataFrame:
+    return jobs.score_sets(jobs.scored_pairs(dataset.labelled_pairs(spark))).cache()
+
+
+@query("published_operating_points", _values(_rows(PUBLISHED_POINTS), "algorithm, cost_per_pair, fp, fn, precision, recall, f1, pr_auc, roc_auc, threshold"))
+def published_operating_points(spark, sf_dir):
+    """All five matchers on the labelled pairs, the learned one out of fold, at their cheapest thresholds."""
+    at = ev.curve(_published_scores(spark)).cache()
+    p = ev.with_metrics(ev.operating_points(ev.grid(at))).join(ev.pr_auc(at), "algorithm").join(ev.roc_auc(at), "algorithm")
+    r = lambda c: F.round(c, 3).alias(c)
+    return p.select("algorithm", r("cost_per_pair"), "fp", "fn", *map(r, ("precision", "recall", "f1", "pr_auc", "roc_auc", "threshold")))
+
+
+@query("published_precision_at_recall", _values(_long(PUBLISHED_PRECISION, ev.RECALL_LEVELS), "algorithm, level, precision"))
+def published_precision_at_recall(spark, sf_dir):
+    got = ev.precision_at_recall(ev.curve(_published_scores(spark)))
+    return got.select("algorithm", "level", F.round("precision", 3).alias("precision"))
+
+
+@query("published_cost_sweep", _values(_long(PUBLISHED_SWEEP, ev.COST_RATIOS), "algorithm, ratio, cost_per_pair"))
+def published_cost_sweep(spark, sf_dir):
+    got = ev.cost_sweep(ev.grid(ev.curve(_published_scores(spark))))
+    return got.select("algorithm", "ratio", F.round("cost_per_pair", 3).alias("cost_per_pair"))
+
+
+@query("published_bands", _values(_rows(PUBLISHED_BANDS), "algorithm, approve, review, reject"))
+def published_bands(spark, sf_dir):
+    scored = _published_scores(spark)
+    at = ev.curve(scored).cache()
+    # one row per matcher
+    cuts = F.broadcast(ev.band_report(at, ev.grid(at)).select("algorithm", "reject_below", "approve_at_or_above"))
+    bands = ev.three_bands(scored.join(cuts, "algorithm"), F.col("reject_below"), F.col("approve_at_or_above"))
+    return bands.groupBy("algorithm").pivot("band", list(ev.BANDS)).agg(F.first("n"))
