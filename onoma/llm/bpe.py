@@ -28,7 +28,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words of more bytes than this are merged with a heap.
 SHORT_WORD = 128
 #: Words kept by a worker's cache before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 NO_RANK = 1 << 60
 #: Texts whose ids are held at a time.
 BATCH = 1000

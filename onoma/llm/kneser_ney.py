@@ -32,7 +32,7 @@ FOLD_TOKENS = 3_000_000
 BLOCK_TOKENS = 1_000_000
 #: Bytes of training text for one shard.
 SHARD_BYTES = 32 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

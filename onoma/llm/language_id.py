@@ -23,6 +23,8 @@ from onoma.llm.common import crc_mod, read_table
 PROFILE = 400
 #: Profile rows that a driver and a broadcast may hold; more means the column holds no languages.
 MOST_ROWS = 2_000_000
+#: Texts whose n-grams are held at a time.
+PIECE = 256
 BITS = 21
 UNDETERMINED = "und"
 
@@ -64,23 +66,31 @@ def top_ngrams(text: str, most: int) -> np.ndarray:
     return grams[np.argsort(-counts, kind="stable")[:most]]
 
 
+def _added(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """Two tables of (n-gram, count) rows as one."""
+    if a is None:
+        return b
+    both = np.concatenate([a, b], axis=1)
+    grams, at = np.unique(both[0], return_inverse=True)
+    return np.stack([grams, np.bincount(at, both[1], len(grams)).astype(np.int64)])
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all rows of (lang, text); every batch is summed up before it is sent."""
+    """(lang, gram, n) of all rows of (lang, text); every batch is summed up, piece by piece, before it is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, langs = b.column(1).to_pylist(), b.column(0).to_pylist()
-            by_lang: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(langs, texts, strict=True):
-                g, n = np.unique(ngrams(text), return_counts=True)
-                by_lang.setdefault(lang, []).append(np.stack([g, n]))
-            for lang, found in by_lang.items():
-                both = np.concatenate(found, axis=1)
-                g, at = np.unique(both[0], return_inverse=True)
-                n = np.bincount(at, both[1], len(g)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n)], ["lang", "gram", "n"]
-                )
+            sums: dict[str, np.ndarray] = {}
+            for lo in range(0, b.num_rows, PIECE):
+                part = b.slice(lo, PIECE)
+                found: dict[str, list[np.ndarray]] = {}
+                for lang, text in zip(part.column(0), part.column(1), strict=True):
+                    found.setdefault(lang.as_py(), []).append(ngrams(text.as_py()))
+                for lang, grams in found.items():
+                    table = np.stack(np.unique(np.concatenate(grams), return_counts=True))
+                    sums[lang] = _added(sums.get(lang), table)
+            for lang, (g, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], ["lang", "gram", "n"])
 
     rows = docs.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     parts = rows.mapInArrow(run, "lang string, gram long, n long")
