@@ -33,7 +33,7 @@ MEMBERS = 192
 QUERIES = 256
 #: Ids (of 32 bytes) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -309,7 +309,7 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, threshold: tuple[
     rows = checkpointed(shingle_sets(docs.select("doc_id", "text"), words, threshold))
     some = rows.filter(F.col("sid").isNotNull())
     source = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("source")
-    sampled_sets = some.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "more", "keys")])
+    sampled_sets = checkpointed(some.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "more", "keys")]))
     sets = some.groupBy("sid").agg(source)
     may_meet = first_tokens(sampled_sets, threshold).select("sid").distinct()
     wanted = checkpointed(may_meet.join(sets.select("sid", "source.doc_id", "source.th"), "sid"))
