@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onoma.llm import bpe, decontaminate, jaccard_join, language_id, line_runs
-from onoma.llm.common import ensure_checkpoint_dir, read_table
+from onoma.llm.common import ensure_checkpoint_dir, read_table, restored, shielded
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 NEAR_WORDS = 5
@@ -27,13 +27,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language_id.learn_profiles(docs)
     if profiles.isEmpty():
         return docs
-    found = language_id.identify(docs, profiles)
-    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    found = language_id.identify(shielded(docs, ("lang_pred", "score")), profiles)
+    return restored(found.filter(F.col("lang_pred") != language_id.UNDETERMINED), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from all documents but one; ``n_chars`` follows the text."""
-    cut = line_runs.dedup_lines(docs).select(*docs.columns)
+    cut = restored(line_runs.dedup_lines(shielded(docs, ("n_lines", "n_dropped"))), docs.columns)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; only where none is named (tests) make one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="onoma-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            named = tempfile.mkdtemp(prefix="onoma-ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
 
 
 #: Removes an execution's shuffle files when it ends; a checkpoint has made them useless by then.
@@ -57,3 +63,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def stable_int(*cols: Column) -> Column:
     return F.xxhash64(*cols)
+
+
+def shielded(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``docs`` with its own columns of these names out of an operator's way; ``restored`` brings them back."""
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in names})
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"__own_{c}").alias(c) if f"__own_{c}" in df.columns else F.col(c) for c in columns])

@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.llm.common import read_table
+from onoma.llm.common import read_table, restored, shielded
 
 WINDOW = 10
 #: Bytes of benchmark text that a task holds at a time.
 BLOCK_BYTES = 8 << 20
 #: Bytes of documents that are one shard at most (a longer document is a shard alone).
 SHARD_BYTES = 16 << 20
+RESULT = ("n_words", "hit_ranges", "hit_items")
 
 
 def _word_table() -> bytes:
@@ -203,8 +204,7 @@ def find_contamination(
     Columns of ``docs`` with the result's names are replaced. ``keep_text=False`` drops the text.
     """
     spark = docs.sparkSession
-    own = ("n_words", "hit_ranges", "hit_items")
-    kept = [c for c in docs.columns if c not in own]
+    kept = [c for c in docs.columns if c not in RESULT]
     out = docs.select(*kept).withColumns(
         {
             "n_words": F.lit(None).cast("long"),
@@ -273,8 +273,8 @@ def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, with their own columns."""
-    found = find_contamination(docs, benchmark, window=window)
-    return found.filter(F.size("hit_ranges") == 0).select(*docs.columns)
+    found = find_contamination(shielded(docs, RESULT), benchmark, window=window)
+    return restored(found.filter(F.size("hit_ranges") == 0), docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,16 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert all(r["n_tokens"] == len(r["ids"]) for r in out)
 
 
+def test_columns_with_the_operators_names_stay(spark, tmp_path):
+    spark.createDataFrame([(0, BENCH)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["lang_pred", "score", "n_lines", "n_dropped", "n_words", "hit_ranges", "hit_items", "sid", "n", "root", "th", "tokens"]
+    row = (1, "some plain words to keep", "en", "s", 24, *[f"my {c}" for c in names])
+    docs = spark.createDataFrame([row], SCHEMA + "".join(f", {c} string" for c in names))
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert [tuple(r) for r in docs.collect()] == [row]
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
