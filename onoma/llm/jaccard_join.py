@@ -150,8 +150,10 @@ def first_tokens(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """
     num, den = threshold
     counted = sets.select("sid", F.explode("tokens").alias("token"))
-    df = counted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
-    common = counted.join(df.hint("shuffle_hash"), "token")
+    # Counts that are written first are dealt out for the join like the tokens are, so that the planner
+    # can split a token that very many sets have.
+    df = checkpointed(counted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1))
+    common = counted.join(df, "token")
     lists = common.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("common"))
     need = F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}") + 1
     joined = sets.select("sid", "n", "keys", F.size("tokens").alias("a"), "more").join(lists, "sid", "left")
@@ -161,8 +163,8 @@ def first_tokens(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         F.transform(F.slice("common", F.lit(1), room), lambda x: x["token"])
     )
     first = joined.select("sid", "n", "keys", own.alias("own"), F.posexplode(F.concat(some, "more")).alias("at", "token"))
-    first = first.select("sid", "n", "keys", "token", (F.col("own") + F.col("at") + 1).alias("pos"))
-    met = first.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token")
+    first = checkpointed(first.select("sid", "n", "keys", "token", (F.col("own") + F.col("at") + 1).alias("pos")))
+    met = checkpointed(first.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token"))
     return first.join(met, "token")
 
 
@@ -248,7 +250,7 @@ def _inner_links(first: DataFrame, texts: DataFrame, words: int, threshold: tupl
     """
     keyed = first.select("sid", "keys").dropDuplicates(["sid"]).select("sid", F.posexplode("keys").alias("r", "key"))
     groups = keyed.groupBy("r", "key").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("leader")).filter("size > 1")
-    groups = groups.withColumn("parts", F.ceil(F.col("size") / MEMBERS).cast("int"))
+    groups = checkpointed(groups.withColumn("parts", F.ceil(F.col("size") / MEMBERS).cast("int")))
     members = keyed.join(groups, ["r", "key"])
     dealt = members.select("r", "key", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), "sid")
     leaders = groups.filter("parts > 1").select("r", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("sid"))
@@ -265,10 +267,12 @@ def _outer_links(first: DataFrame, labels: DataFrame, texts: DataFrame, words: i
     """
     num, den = threshold
     labelled = first.select("sid", "n", "token", "pos").join(labels, "sid", "left").withColumn("g", F.coalesce("label", "sid")).drop("label")
-    sizes = labelled.select("sid", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    labelled = checkpointed(labelled)
+    sizes = checkpointed(labelled.select("sid", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("size")))
     met = labelled.select("token", "g").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("gs")).filter("gs > 1")
+    met = checkpointed(met.select("token"))
     part = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / MEMBERS)).cast("int")
-    shared = labelled.join(met.select("token"), "token").join(sizes, "g").withColumn("part", part)
+    shared = labelled.join(met, "token").join(sizes, "g").withColumn("part", part)
     shared = checkpointed(shared.withColumn("rest", F.col("n") - F.col("pos") + 1))
     there = shared.groupBy("token", F.col("g").alias("to"), F.col("size").alias("to_size"), F.col("part").alias("to_part")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("most_rest")
