@@ -32,6 +32,10 @@ FOLD_TOKENS = 3_000_000
 BLOCK_TOKENS = 1_000_000
 #: Bytes of training text for one shard.
 SHARD_BYTES = 32 << 20
+#: Words grow slower than pairs: so many word shards for a number of pair shards, as a power of it.
+WORD_POWER = 0.6
+#: Files that a worker keeps mapped at a time.
+MAPPED_FILES = 2048
 CACHE_WORDS = 150_000
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -154,6 +158,7 @@ class Model:
 
     folder: Folder
     shards: int
+    word_shards: int
     n_tokens: int
     n_words: int
     n_pairs: int
@@ -214,7 +219,7 @@ def _blobs(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, kind)
 
 
-def _merge_pairs(folder: Folder, shards: int):
+def _merge_pairs(folder: Folder, word_shards: int):
     """A shard's pairs to one sorted array in the folder; on go the words' and contexts' shares."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -232,8 +237,8 @@ def _merge_pairs(folder: Folder, shards: int):
         kw, count, kinds = _sum_by(w, c, one)
         kv, n1, n2, n3 = _sum_by(v, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
         rows = []
-        wcut, vcut = _cuts(kw, shards), _cuts(kv, shards)
-        for s in range(shards):
+        wcut, vcut = _cuts(kw, word_shards), _cuts(kv, word_shards)
+        for s in range(word_shards):
             a, b, x, y = wcut[s], wcut[s + 1], vcut[s], vcut[s + 1]
             told = seen if s == 0 else [0] * 5
             if a < b or x < y or s == 0:
@@ -281,45 +286,44 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     folder = Folder(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ngrams-{uuid.uuid4().hex}")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
+    word_shards = int(np.ceil(shards**WORD_POWER))
     pairs = docs.select("text").mapInArrow(_count_pass(shards), "shard int, v binary, runs binary, w binary, c binary")
-    shares = pairs.groupBy("shard").applyInArrow(_merge_pairs(folder, shards), _SHARES_DDL)
+    shares = pairs.groupBy("shard").applyInArrow(_merge_pairs(folder, word_shards), _SHARES_DDL)
     found = shares.groupBy("shard").applyInArrow(_merge_words(folder), ", ".join(f"{n} long" for n in _SUMS))
     s = {n: x or 0 for n, x in found.agg(*[F.sum(n).alias(n) for n in _SUMS]).first().asDict().items()}
     atexit.register(folder.remove)
     return Model(
-        folder, shards, s["n_tokens"], s["n_words"], s["s4"],
+        folder, shards, word_shards, s["n_tokens"], s["n_words"], s["s4"],
         discounts(s["s0"], s["s1"], s["s2"], s["s3"]), discounts(s["k1"], s["k2"], s["k3"], s["k4"]), (s["k1"], s["k2"], s["more"]),
     )
 
 
-class Scorer:
-    """The mapped arrays of a model."""
+class _Tables:
+    """The shards of one kind of array, mapped when first asked for; the oldest mappings go first."""
 
-    def __init__(self, model: Model):
-        self.m, self.cache = model, {}
-        self.pairs = [self._map(f"pairs-{s:06d}", PAIR_KINDS) for s in range(model.shards)] if model.n_tokens else []
-        self.words = [self._map(f"words-{s:06d}", WORD_KINDS) for s in range(model.shards)] if model.n_tokens else []
-        d, once = model.word_discounts, model.word_once
-        self.spare = sum(a * b for a, b in zip(d, once, strict=True)) / model.n_pairs if model.n_pairs else 1.0
-        (end,), _, _, _, _ = self._find(self.words, np.array([END]), 5)
-        self.texts = float(end)
+    def __init__(self, folder: Folder, kind: str, shards: int, kinds: list[str], cache: dict):
+        self.folder, self.kind, self.shards, self.kinds, self.cache = folder, kind, shards, kinds, cache
+        self.open: dict[int, list[np.ndarray]] = {}
 
-    def _map(self, name: str, kinds: list[str]) -> list[np.ndarray]:
-        try:
-            return self.m.folder.map(name, kinds, self.cache)
-        except FileNotFoundError:  # a shard that got nothing
-            return [np.zeros(0, k) for k in kinds]
+    def __getitem__(self, shard: int) -> list[np.ndarray]:
+        if shard not in self.open:
+            if len(self.open) >= MAPPED_FILES:
+                del self.open[next(iter(self.open))]
+            try:
+                self.open[shard] = self.folder.map(f"{self.kind}-{shard:06d}", self.kinds, self.cache)
+            except FileNotFoundError:  # a shard that got nothing
+                self.open[shard] = [np.zeros(0, k) for k in self.kinds]
+        return self.open[shard]
 
-    @staticmethod
-    def _find(tables: list[list[np.ndarray]], keys: np.ndarray, n: int) -> list[np.ndarray]:
+    def find(self, keys: np.ndarray) -> list[np.ndarray]:
         """The values of sorted keys, 0 where a key is missing."""
-        out = [np.zeros(len(keys)) for _ in range(n)]
-        if not tables:
+        out = [np.zeros(len(keys)) for _ in self.kinds[1:]]
+        if not self.shards or not len(keys):
             return out
-        cut = _cuts(keys, len(tables))
-        for s, (have, *values) in enumerate(tables):
-            a, b = cut[s], cut[s + 1]
-            if a < b and len(have):
+        own, begin = np.unique(shard_of(keys, self.shards), return_index=True)
+        for shard, a, b in zip(own.tolist(), begin, [*begin[1:], len(keys)], strict=True):
+            have, *values = self[shard]
+            if len(have):
                 at = np.searchsorted(have, keys[a:b])
                 at[at == len(have)] = 0
                 hit = have[at] == keys[a:b]
@@ -327,6 +331,19 @@ class Scorer:
                     o[a:b] = np.where(hit, x[at], 0)
         return out
 
+
+class Scorer:
+    """The mapped arrays of a model."""
+
+    def __init__(self, model: Model):
+        self.m = model
+        some, cache = bool(model.n_tokens), {}
+        self.pairs = _Tables(model.folder, "pairs", model.shards * some, PAIR_KINDS, cache)
+        self.words = _Tables(model.folder, "words", model.word_shards * some, WORD_KINDS, cache)
+        d, once = model.word_discounts, model.word_once
+        self.spare = sum(a * b for a, b in zip(d, once, strict=True)) / model.n_pairs if model.n_pairs else 1.0
+        self.texts = float(self.words.find(np.array([END]))[0][0])
+
     def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
         """n_tokens, n_known, base score and log10 probability of every text."""
         out, block, n = [], [], 0
@@ -343,7 +360,7 @@ class Scorer:
         w = np.concatenate(parts)
         v = contexts(w)
         key, inverse = np.unique(np.concatenate([w, [START]]), return_inverse=True)
-        count, kinds, n1, n2, n3 = self._find(self.words, key, 5)
+        count, kinds, n1, n2, n3 = self.words.find(key)
         of_word = inverse[: len(w)]
         of_context = np.where(v == START, inverse[-1], np.concatenate([[0], of_word[:-1]]))
         d1, d2, d3 = m.word_discounts
@@ -353,7 +370,7 @@ class Scorer:
         total = np.where(key == START, self.texts, np.where(key == END, 0, count))
         spare = np.where(total > 0, (e1 * n1 + e2 * n2 + e3 * n3) / np.maximum(total, 1), 1.0)
         pair, back = np.unique(pair_hash(v, w), return_inverse=True)
-        (c,) = self._find(self.pairs, pair, 1)
+        (c,) = self.pairs.find(pair)
         c = (c - np.select([c >= 3, c == 2, c == 1], [e3, e2, e1], 0.0))[back]
         p = c / np.maximum(total[of_context], 1) + spare[of_context] * lower[of_word]
         base = np.log10((count + 1) / (m.n_tokens + 1 * (m.n_words + 1)))[of_word]
