@@ -3,8 +3,10 @@
 Base spans (mail addresses, network addresses, card and phone numbers) come from patterns. On top of
 them, the corpus tells which terms disclose an entity: the lines that hold an entity are its contexts,
 and a term's disclosure of an entity is the share of the entity's information content that their
-pointwise mutual information amounts to, PMI(e; t) / IC(e). Terms at or above a threshold are
-generalised in the lines where they stand with the entity, and removed at a higher threshold.
+pointwise mutual information amounts to, PMI(e; t) / IC(e). Every entity is estimated, however few its
+lines are: counts are smoothed by an absolute discount, so that little evidence gives a lower share. Terms
+at or above a threshold are generalised in the lines where they stand with the entity, and removed at a
+higher threshold.
 
 All of it is DataFrame expressions. A pattern's positions are found by cutting the text at the
 pattern and summing up the lengths of pieces and matches.
@@ -28,11 +30,15 @@ PATTERNS = {
 }
 IP_PARTS = rf"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){{4}}"
 TERM = r"\p{L}{4,}+"
-#: Distinct contexts that an entity, and an entity with a term, must have.
-SUPPORT = 3
+#: Distinct contexts that an entity, and an entity with a term, must have: with 1 all are estimated.
+SUPPORT = 1
+#: What is taken off each count of an entity with a term; it goes to the entity's share of all lines.
+DISCOUNT = 0.75
 GENERALISE = 0.8
 REMOVE = 0.95
 STEP = 256
+#: An entity's set of lines: its size and both hashes of the lines, folded.
+SET = ("n_e", "x1", "x2")
 
 
 def running_sum(values: Column) -> Column:
@@ -120,7 +126,9 @@ def disclosing_lines(
     """(h1, h2, terms): for lines with an entity, the (term, share) that disclose it; None if there are none.
 
     n(e), n(e, t): distinct lines with the entity, and with both; n(t) and N: distinct lines of the
-    whole corpus with the term, and all. share = PMI / IC = log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e)).
+    whole corpus with the term, and all. p(e) = n(e) / N, p(e | t) = (n(e,t) - d + d p(e)) / n(t) with
+    d = DISCOUNT, and share = PMI / IC = log2(p(e | t) / p(e)) / log2(1 / p(e)). Copies of a line are one
+    line. Entities with the same lines have the same shares, and are worked off as one.
     """
     lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     held = lines.filter(_suspect(F.col("line"))).groupBy(*_hashes(F.col("line"))).agg(F.first("line").alias("line"))
@@ -134,22 +142,26 @@ def disclosing_lines(
             F.array_distinct(F.regexp_extract_all(F.lower(masked), F.lit(TERM), F.lit(0))).alias("terms"),
         )
     )
-    by_entity = contexts.select("h1", "h2", "terms", F.explode("entities").alias("e"))
-    n_e = by_entity.groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    both = by_entity.join(n_e, "e").select("h1", "h2", "e", "n_e", F.explode("terms").alias("t"))
-    n_et = checkpointed(both.groupBy("e", "n_e", "t").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support))
+    by_entity = contexts.select("h1", "h2", F.explode("entities").alias("e"))
+    same_lines = F.struct(F.count(F.lit(1)).alias("n_e"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
+    sets = by_entity.groupBy("e").agg(same_lines.alias("s")).select("e", "s.*").filter(F.col("n_e") >= support)
+    of_line = checkpointed(by_entity.join(sets, "e").select("h1", "h2", "n_e", "x1", "x2").distinct())
+    both = contexts.select("h1", "h2", "terms").join(of_line, ["h1", "h2"]).select("h1", "h2", *SET, F.explode("terms").alias("t"))
+    n_et = checkpointed(both.groupBy(*SET, "t").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support))
     if n_et.isEmpty():
         return None
     distinct = lines.groupBy(*_hashes(F.col("line"))).agg(F.first("line").alias("line"))
     words = distinct.select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("t")
     )
-    n_t = words.join(n_et.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    # counted before the join, so that frequent words are one row there
+    n_t = words.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     total = lines.select(F.count_distinct(F.xxhash64("line")).alias("n")).first()["n"]
-    n = F.lit(float(total))
-    share = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
-    flagged = n_et.join(n_t, "t").filter(F.col("n_e") < total).withColumn("share", share).filter(F.col("share") >= generalise)
-    hits = both.select("h1", "h2", "e", "t").join(flagged.select("e", "t", "share"), ["e", "t"])
+    p_e = F.col("n_e") / F.lit(float(total))
+    given = (F.col("n_et") - F.lit(DISCOUNT) + F.lit(DISCOUNT) * p_e) / F.col("n_t")
+    share = F.log2(given / p_e) / F.log2(1 / p_e)
+    flagged = n_et.filter(F.col("n_e") < total).join(n_t, "t").withColumn("share", share).filter(F.col("share") >= generalise)
+    hits = both.join(flagged.select(*SET, "t", "share"), [*SET, "t"])
     worst = hits.groupBy("h1", "h2", "t").agg(F.max("share").alias("share"))
     return worst.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("t", "share"))).alias("terms"))
 

@@ -83,3 +83,18 @@ def test_empty_table(spark):
 def test_many_copies_count_once(spark):
     docs = spark.createDataFrame([(n, "Zephyrine wrote zed@site.org") for n in range(50)] + [(99, "other")], "doc_id long, text string")
     assert all(len(r["spans"]) == (r["doc_id"] != 99) for r in pii.find_personal_data(docs).collect())
+
+
+def test_entities_with_few_lines_are_estimated(spark):
+    filler = [f"plain words number{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)} about weather" for n in range(6000)]
+    own = ["Quillon likes weather, mail once@site.org"]
+    own += [f"{w} Brannoch likes weather, mail twice@site.org" for w in ("alpha", "bravo")]
+    own += ["Corvane likes weather, mail copy@site.org"] * 40
+    own += ["Dunmore likes weather, mail left@site.org or right@site.org"]
+    docs = spark.createDataFrame(list(enumerate(filler + own)), "doc_id long, text string")
+    by_id = {r["doc_id"]: {s["value"]: s["kind"] for s in r["spans"]} for r in pii.find_personal_data(docs).collect()}
+    assert by_id[6000] == {"Quillon": "term", "once@site.org": "email"}
+    assert by_id[6001].items() >= {"Brannoch": "term", "twice@site.org": "email"}.items()
+    assert all(by_id[n] == {"Corvane": "term", "copy@site.org": "email"} for n in range(6003, 6043))
+    assert by_id[6043] == {"Dunmore": "term", "left@site.org": "email", "right@site.org": "email"}
+    assert not any(by_id[n] for n in range(6000))
