@@ -85,3 +85,11 @@ def test_components_of_a_chain(spark):
     links = [(k, k + 1) for k in range(1, 60)] + [(100, 100), (200, 201), (201, 200)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 61), 1), 200: 200, 201: 200}
+
+
+def test_components_of_long_chains_with_shuffled_ids(spark):
+    ids = list(range(4000))
+    random.Random(7).shuffle(ids)
+    links = [*itertools.pairwise(ids[:3000]), *itertools.pairwise(ids[3000:])]
+    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(ids[:3000], min(ids[:3000])), **dict.fromkeys(ids[3000:], min(ids[3000:]))}
