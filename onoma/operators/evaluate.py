@@ -2,14 +2,16 @@
 
 Rows of (algorithm, score, label) are folded to one row per distinct score. Running sums from the top
 give the confusion at every decision "score >= threshold", and every metric is an aggregate over
-those rows. The window runs inside an algorithm and over distinct scores only.
+those rows. Windows run inside a range of distinct scores of an algorithm.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +23,8 @@ RECALL_FLOOR, TARGET_PRECISION = 0.90, 0.99
 COST_RATIOS = (1, 3, 5, 10, 25, 50, 100)
 ABOVE = 1e-9
 BOOTSTRAP_ROUNDS, BOOTSTRAP_SEED = 2000, 20260101
-#: Rows whose differences the driver may hold for the exact bootstrap.
-MOST_BOOTSTRAP_ROWS = 1_000_000
+#: Rows of an evaluation set that the published draws take.
+MOST_BOOTSTRAP_ROWS = 100_000
 NAN = float("nan")
 
 
@@ -94,16 +96,52 @@ def confusion_at(scored: DataFrame, threshold: float | Column, by: str = "algori
     )
 
 
-def curve(scored: DataFrame, by: str = "algorithm") -> DataFrame:
-    """One row per distinct score: pos, neg at it; tp, fp, tn, fn of accepting it and all above; the next lower score."""
+def _score_cuts(at: DataFrame, buckets: int) -> list[float]:
+    """At most ``buckets`` - 1 scores that cut the rows of ``at`` into parts of about one size."""
+    shares = [k / buckets for k in range(1, buckets)]
+    if not shares:
+        return []
+    found = at.agg(F.percentile_approx("score", shares, 10_000).alias("c")).first()["c"]
+    return sorted({x for x in found or [] if math.isfinite(x)})
+
+
+def curve(scored: DataFrame, by: str = "algorithm", buckets: int | None = None) -> DataFrame:
+    """One row per distinct score: pos, neg at it; tp, fp, tn, fn of accepting it and all above; its neighbours.
+
+    ``below``, ``pos_below`` and ``neg_below``: the next lower score and its rows; ``above``: the next higher
+    one. Scores are cut into ``buckets`` ranges (the session's shuffle partitions) of about as many distinct
+    scores each. Running sums stay inside a range, and what lies above it is added from one row per range,
+    so that no task sorts more than a range, however few algorithms there are.
+    """
     at = scored.groupBy(by, "score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
-    down = W.partitionBy(by).orderBy(F.desc("score"))
-    upto, whole = down.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(by)
-    return at.select(
-        by, "score", "pos", "neg",
-        F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"),
-        (F.sum("neg").over(whole) - F.sum("neg").over(upto)).alias("tn"), (F.sum("pos").over(whole) - F.sum("pos").over(upto)).alias("fn"),
-        F.lead("score").over(down).alias("below"), F.lag("score").over(down).alias("above"),
+    buckets = buckets or int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = _score_cuts(at, buckets)
+    cut_up = Bucketizer(splits=[-math.inf, *(cuts or [0.0]), math.inf], inputCol="score", outputCol="__b", handleInvalid="keep")
+    placed = cut_up.transform(at)
+
+    at_top = F.max_by(F.struct("score", "pos", "neg"), "score").alias("top")
+    ranges = placed.groupBy(by, "__b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.min("score").alias("low"), at_top)
+    down = W.partitionBy(by).orderBy(F.desc("__b"))
+    before, whole = down.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(by)
+    ranges = ranges.select(
+        by, "__b",
+        F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+        F.sum("p").over(whole).alias("p_all"), F.sum("n").over(whole).alias("n_all"),
+        F.lead("top").over(down).alias("next"), F.lag("low").over(down).alias("last"),
+    )
+    inside = W.partitionBy(by, "__b").orderBy(F.desc("score"))
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    sums = placed.select(
+        by, "__b", "score", "pos", "neg", F.sum("pos").over(upto).alias("p"), F.sum("neg").over(upto).alias("n"),
+        F.lead(F.struct("score", "pos", "neg")).over(inside).alias("after"), F.lag("score").over(inside).alias("prior"),
+    )
+    # one row per range and algorithm
+    joined = sums.join(F.broadcast(ranges), [by, "__b"])
+    tp, fp = F.col("p0") + F.col("p"), F.col("n0") + F.col("n")
+    beside = F.coalesce("after", "next")
+    return joined.select(
+        by, "score", "pos", "neg", tp.alias("tp"), fp.alias("fp"), (F.col("n_all") - fp).alias("tn"), (F.col("p_all") - tp).alias("fn"),
+        beside["score"].alias("below"), beside["pos"].alias("pos_below"), beside["neg"].alias("neg_below"), F.coalesce("prior", "last").alias("above"),
     )
 
 
@@ -117,19 +155,24 @@ def grid(at: DataFrame, by: str = "algorithm") -> DataFrame:
     cells = ["tp", "fp", "tn", "fn"]
     low, top = F.col("below").isNull(), F.col("above").isNull()
     mid = (F.col("score") + F.col("below")) / 2.0
-    sides = at.withColumn("mid", mid).withColumn("falls", F.col("mid") <= F.col("below"))
-    down = W.partitionBy(by).orderBy(F.desc("score"))
-    after = [F.lead(c).over(down) for c in cells]
-    sides = sides.select("*", *[F.when(F.col("falls"), x).otherwise(F.col(c)).alias(f"mid_{c}") for c, x in zip(cells, after, strict=True)])
-    all_ = sides.filter(low).select(by, F.col("score").alias("threshold"), *cells, F.lit("all").alias("kind"))
-    mids = sides.filter(~low).select(by, F.col("mid").alias("threshold"), *[F.col(f"mid_{c}").alias(c) for c in cells], F.lit("mid").alias("kind"))
-    tops = sides.filter(top).select(by, F.col("score").alias("threshold"), *cells, F.lit("top").alias("kind"))
+    falls = mid <= F.col("below")
+    # what accepting the lower score too would give
+    after = {"tp": F.col("tp") + F.col("pos_below"), "fp": F.col("fp") + F.col("neg_below")}
+    after |= {"tn": F.col("tn") - F.col("neg_below"), "fn": F.col("fn") - F.col("pos_below")}
     up = F.expr("cast(java_method('java.lang.Math', 'nextUp', score) AS double)")
-    none = sides.filter(top).select(
-        by, up.alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"),
-        (F.col("tn") + F.col("fp")).alias("tn"), (F.col("fn") + F.col("tp")).alias("fn"), F.lit("none").alias("kind"),
-    )
-    return all_.unionByName(mids).unionByName(tops).unionByName(none)
+    nothing = {"tp": F.lit(0), "fp": F.lit(0), "tn": F.col("tn") + F.col("fp"), "fn": F.col("fn") + F.col("tp")}
+
+    def point(threshold: Column, counts: dict[str, Column], kind: str) -> Column:
+        return F.struct(threshold.alias("threshold"), *[counts[c].cast("long").alias(c) for c in cells], F.lit(kind).alias("kind"))
+
+    own = {c: F.col(c) for c in cells}
+    points = F.array(
+        F.when(low, point(F.col("score"), own, "all")),
+        F.when(~low, point(mid, {c: F.when(falls, after[c]).otherwise(F.col(c)) for c in cells}, "mid")),
+        F.when(top, point(F.col("score"), own, "top")),
+        F.when(top, point(up, nothing, "none")),
+    )
+    return at.select(by, F.explode(F.filter(points, lambda x: x.isNotNull())).alias("x")).select(by, "x.*")
 
 
 POINT = ["threshold", "tp", "fp", "tn", "fn"]
@@ -283,50 +326,60 @@ def reversals(values: DataFrame, eps: float = 0.0) -> DataFrame:
     return out.select(F.col("x").alias("algorithm")).union(out.select("y")).distinct()
 
 
+def _paid(score: str, threshold: float, fp_cost: float, fn_cost: float) -> Column:
+    yes = F.col(score) >= threshold
+    return F.when(yes & (F.col("label") == 0), fp_cost).when(~yes & (F.col("label") == 1), fn_cost).otherwise(0.0)
+
+
+def cost_deltas(rows: DataFrame, threshold_a: float, threshold_b: float, fp_cost: float = COST_FP, fn_cost: float = COST_FN) -> DataFrame:
+    """All rows of (score_a, score_b, label, ...) with ``d``: what decision B costs more than A on the row."""
+    return rows.withColumn("d", _paid("score_b", threshold_b, fp_cost, fn_cost) - _paid("score_a", threshold_a, fp_cost, fn_cost))
+
+
+def _interval(means: np.ndarray) -> dict[str, float]:
+    low, high = np.percentile(means, [2.5, 97.5])
+    return {"mean_delta": float(means.mean()), "ci_low": float(low), "ci_high": float(high), "p_a_cheaper": float((means > 0).mean())}
+
+
+NO_ROWS = {"mean_delta": 0.0, "ci_low": 0.0, "ci_high": 0.0, "p_a_cheaper": 0.5}
+
+
 def bootstrap_cost_delta(
     rows: DataFrame, threshold_a: float, threshold_b: float, *, rounds: int = BOOTSTRAP_ROUNDS, seed: int = BOOTSTRAP_SEED,
     fp_cost: float = COST_FP, fn_cost: float = COST_FN,
 ) -> dict[str, float]:
-    """Paired bootstrap of cost(B) - cost(A) per pair over (ord, score_a, score_b, label), thresholds fixed.
+    """Paired bootstrap of cost(B) - cost(A) per pair over (score_a, score_b, label), thresholds fixed.
 
-    A resample's difference is the mean of its rows' differences, so only those are gathered (an
-    evaluation set, MOST_BOOTSTRAP_ROWS at most); resamples are drawn one at a time.
+    A row's difference is one of a few values (two costs, two decisions), so a resample of all rows is
+    a multinomial draw of how often each value comes. Only values and their counts reach the driver,
+    whatever the number of rows.
     """
     if rounds <= 0:
         raise ValueError("rounds must be positive")
+    found = cost_deltas(rows, threshold_a, threshold_b, fp_cost, fn_cost).groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()
+    if not found:
+        return dict(NO_ROWS)
+    value, n = np.array([r["d"] for r in found]), np.array([r["n"] for r in found])
+    drawn = np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), size=rounds)
+    return _interval(drawn @ value / n.sum())
 
-    def paid(score: str, t: float) -> Column:
-        yes = F.col(score) >= t
-        return F.when(yes & (F.col("label") == 0), fp_cost).when(~yes & (F.col("label") == 1), fn_cost).otherwise(0.0)
 
-    delta = rows.select("ord", (paid("score_b", threshold_b) - paid("score_a", threshold_a)).alias("d")).orderBy("ord")
+def bootstrap_as_published(
+    rows: DataFrame, threshold_a: float, threshold_b: float, *, rounds: int = BOOTSTRAP_ROUNDS, seed: int = BOOTSTRAP_SEED,
+    fp_cost: float = COST_FP, fn_cost: float = COST_FN,
+) -> dict[str, float]:
+    """The same with the published draws: row by row in the order of ``ord``, for evaluation sets only.
+
+    It gathers the differences of MOST_BOOTSTRAP_ROWS rows at most and raises beyond.
+    """
+    if rounds <= 0:
+        raise ValueError("rounds must be positive")
+    delta = cost_deltas(rows, threshold_a, threshold_b, fp_cost, fn_cost).select("ord", "d").orderBy("ord")
     found = delta.limit(MOST_BOOTSTRAP_ROWS + 1).collect()
     if len(found) > MOST_BOOTSTRAP_ROWS:
-        raise ValueError("too many rows; use bootstrap_at_scale")
+        raise ValueError("too many rows; use bootstrap_cost_delta")
     d = np.array([r["d"] for r in found])
     if not len(d):
-        return {"mean_delta": 0.0, "ci_low": 0.0, "ci_high": 0.0, "p_a_cheaper": 0.5}
+        return dict(NO_ROWS)
     draw = random.Random(seed)
-    means = np.array([d[[draw.randrange(len(d)) for _ in range(len(d))]].sum() / len(d) for _ in range(rounds)])
-    low, high = np.percentile(means, [2.5, 97.5])
-    return {"mean_delta": float(means.mean()), "ci_low": float(low), "ci_high": float(high), "p_a_cheaper": float((means > 0).mean())}
-
-
-def bootstrap_at_scale(rows: DataFrame, rounds: int = 200, seed: int = BOOTSTRAP_SEED) -> DataFrame:
-    """The same interval over distributed rows of (key, d): every row gets a Poisson(1) weight in every round.
-
-    Weights come from a hash of key and round, so a lost task draws the same ones again.
-    """
-    u = lambda k: (F.pmod(F.xxhash64("key", k, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)).cast("double")
-    cuts, p, total = [], np.exp(-1.0), 0.0
-    for k in range(12):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    each = rows.select("key", "d", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    weight = sum((F.when(u(F.col("round")) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    means = each.groupBy("round").agg((F.sum(F.col("d") * weight) / F.sum(weight)).alias("m"))
-    return means.agg(
-        F.avg("m").alias("mean_delta"), F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"),
-        F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)).alias("p_a_cheaper"),
-    )
+    return _interval(np.array([d[[draw.randrange(len(d)) for _ in range(len(d))]].sum() / len(d) for _ in range(rounds)]))

@@ -110,9 +110,30 @@ def test_bootstraps_agree(spark):
     rng = random.Random(4)
     rows = [(k, rng.random(), rng.random(), rng.randint(0, 1)) for k in range(300)]
     df = spark.createDataFrame(rows, "ord int, score_a double, score_b double, label int")
-    one = ev.bootstrap_cost_delta(df, 0.5, 0.4, rounds=400)
-    d = spark.createDataFrame([(o, float((25 if y else 0) * (b < 0.4) + (b >= 0.4 and not y) - (25 if y else 0) * (a < 0.5) - (a >= 0.5 and not y))) for o, a, b, y in rows], "key int, d double")
-    two = ev.bootstrap_at_scale(d, rounds=400).first()
+    one, two = ev.bootstrap_as_published(df, 0.5, 0.4, rounds=400), ev.bootstrap_cost_delta(df, 0.5, 0.4, rounds=400)
     assert abs(one["mean_delta"] - two["mean_delta"]) < 0.3 and abs(one["ci_low"] - two["ci_low"]) < 0.6
-    with pytest.raises(ValueError, match="positive"):
-        ev.bootstrap_cost_delta(df, 0.5, 0.5, rounds=0)
+    assert two == ev.bootstrap_cost_delta(df.repartition(5), 0.5, 0.4, rounds=400)
+    for draw in (ev.bootstrap_as_published, ev.bootstrap_cost_delta):
+        with pytest.raises(ValueError, match="positive"):
+            draw(df, 0.5, 0.5, rounds=0)
+        assert draw(df.limit(0), 0.5, 0.5) == ev.NO_ROWS
+
+
+def test_curve_in_ranges_is_the_curve(spark):
+    rng = random.Random(7)
+    sets = {f"s{k}": ([rng.choice([rng.random(), 0.5]) for _ in range(60)], [rng.randint(0, 1) for _ in range(60)]) for k in range(4)}
+    sets["one"] = ([0.25], [1])
+    long = table(spark, sets)
+    rows = lambda n: sorted(map(tuple, ev.curve(long, buckets=n).collect()), key=repr)
+    want = rows(1)
+    assert rows(3) == want and rows(40) == want
+    for k, score, _, _, tp, fp, tn, fn, below, pos_below, _, above in want:
+        scores, labels = sets[k]
+        assert (tp, fp) == tuple(sum(s >= score and y == v for s, y in zip(scores, labels, strict=True)) for v in (1, 0))
+        assert tp + fn == sum(labels) and fp + tn == len(labels) - sum(labels)
+        assert below == max((s for s in scores if s < score), default=None) and above == min((s for s in scores if s > score), default=None)
+        assert below is None or pos_below == sum(y for s, y in zip(scores, labels, strict=True) if s == below)
+
+
+def test_curve_of_nothing(spark):
+    assert ev.curve(table(spark, {})).isEmpty() and ev.grid(ev.curve(table(spark, {}))).isEmpty()
