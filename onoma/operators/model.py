@@ -1,7 +1,8 @@
 """The learned combiner: logistic regression over pair features.
 
-``fit_folds`` fits many small models side by side, one grouped task each (cross-validation, ablation).
-``fit_at_scale`` minimises the same objective with MLlib, where rows stay distributed.
+``fit_groups`` fits many small models side by side, one grouped task each, by the published descent.
+``fit_newton`` minimises the same objective for many models at once where rows stay distributed;
+``fit_at_scale`` does it for one with MLlib.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,9 +26,11 @@ from onoma.operators.features import FEATURES
 
 # The published fit's settings.
 RATE, STEPS, RIDGE, FOLDS = 0.35, 1200, 0.02, 5
-#: Rows that a single grouped fit takes; larger inputs belong to fit_at_scale.
+#: Rows that a single grouped fit takes (the published protocol, for evaluation sets); larger inputs belong to fit_newton.
 MOST_GROUP_ROWS = 2_000_000
 LOSS_EDGE = 1e-12
+#: Newton rounds at most, and the step at which they end.
+NEWTON_ROUNDS, NEWTON_EDGE = 30, 1e-10
 
 
 @dataclass
@@ -49,12 +53,17 @@ class LogisticModel:
         return cls([], 0.0, [], [], [])
 
     def probability(self, columns: list[Column]) -> Column:
-        """P(match) of a row as a native expression; 0.5, with a warning, for an unfitted model."""
+        """P(match) of a row as a native expression; 0.5, with a warning, for an unfitted model.
+
+        A row with a feature that is null, NaN or infinite ends the query with an error.
+        """
         if not self.weights:
             warnings.warn("the model is not fitted: every pair gets 0.5", RuntimeWarning, stacklevel=2)
             return F.lit(0.5)
         if len(columns) != len(self.weights):
             raise ValueError(f"{len(columns)} features for a model of {len(self.weights)}: a stale model or another feature order")
+        finite = reduce(lambda a, b: a & b, (c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in columns))
+        columns = [F.when(finite, c).otherwise(F.raise_error(F.lit("features must be finite")).cast("double")) if k == 0 else c for k, c in enumerate(columns)]
         terms = ((c - m) / s * w for c, m, s, w in zip(columns, self.means, self.stds, self.weights, strict=True))
         return sigmoid(reduce(lambda a, b: a + b, terms, F.lit(0.0)) + F.lit(self.bias))
 
@@ -153,7 +162,7 @@ def fit_groups(rows: DataFrame, keys: dict[str, str], features: list[str], label
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MOST_GROUP_ROWS:
-            raise ValueError("too many rows for one grouped fit; use fit_at_scale")
+            raise ValueError("too many rows for one grouped fit; use fit_newton")
         at = dict(zip(keys, key, strict=True))
         own = [f for f in features if f != at.get("mask")]
         pdf = pdf.sort_values("ord") if "ord" in pdf else pdf
@@ -164,9 +173,23 @@ def fit_groups(rows: DataFrame, keys: dict[str, str], features: list[str], label
     return rows.groupBy(*keys).applyInPandas(run, ddl)
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Add ``ord``, the row's place by ``order``, counted from 0. For evaluation sets: one window over all rows."""
-    return df.withColumn("ord", F.row_number().over(W.orderBy(order)) - 1)
+def numbered(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+    """Add ``ord``, the row's place by ``order``, counted from 0; null orders first, ties in any order.
+
+    The order column alone is range-partitioned to find where ``ranges`` ranges (the session's shuffle
+    partitions) begin and how many rows each has: one row per range reaches the driver. A row's place
+    is the rows before its range, and its number in its range.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(F.col(order).alias("k")).repartitionByRange(ranges, "k").groupBy(F.spark_partition_id().alias("r"))
+    found = keys.agg(F.min("k").alias("low"), F.count("k").alias("n"), F.count_if(F.col("k").isNull()).alias("nulls")).orderBy("low").collect()
+    lows = [(r["low"], r["n"]) for r in found if r["n"]]
+    before = np.cumsum([0, sum(r["nulls"] for r in found), *(n for _, n in lows)]).tolist()
+    kind = df.schema[order].dataType
+    starts = F.array(*[F.lit(low).cast(kind) for low, _ in lows]) if lows else F.array().cast(f"array<{kind.simpleString()}>")
+    placed = df.withColumn("__r", F.size(F.filter(starts, lambda low: low <= F.col(order))))
+    inside = F.row_number().over(W.partitionBy("__r").orderBy(order))
+    return placed.withColumn("ord", F.get(F.array(*map(F.lit, before)), F.col("__r")) + inside - 1).drop("__r")
 
 
 def with_folds(df: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -224,6 +247,119 @@ def fit(df: DataFrame, features: list[str], label: str = "label") -> LogisticMod
     return LogisticModel(r["weights"], r["bias"], r["means"], r["stds"], r["names"], n_train=r["n_train"], final_loss=r["final_loss"])
 
 
+def _scaled(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and population deviations (1 for a constant) of all rows, in one pass."""
+    r = df.agg(*[F.avg(f).alias(f"m{k}") for k, f in enumerate(features)], *[F.var_pop(f).alias(f"v{k}") for k, f in enumerate(features)]).first()
+    var = np.array([r[f"v{k}"] or 0.0 for k in range(len(features))])
+    return np.array([r[f"m{k}"] or 0.0 for k in range(len(features))]), np.where(var <= 1e-12, 1.0, np.sqrt(var))
+
+
+@dataclass
+class Plan:
+    """A model to fit: the fold whose rows it does not see (-1: none) and the feature it does without ('': none)."""
+
+    fold: int = -1
+    mask: str = ""
+
+
+def fit_newton(
+    df: DataFrame, features: list[str], plans: list[Plan] | None = None, *, ridge: float = RIDGE, rounds: int = NEWTON_ROUNDS
+) -> list[LogisticModel]:
+    """Models of rows that stay where they are: (features, label and, for plans that name one, ``fold``).
+
+    The objective is fit_arrays' own. Every Newton round is one pass: a task adds up gradients and
+    curvatures of all plans over its rows, sums meet in a shuffle of one row per plan and cell, and the
+    driver solves one small system per plan. Works alike at any number of rows.
+    """
+    plans = plans or [Plan()]
+    m0, s0 = _scaled(df, features)
+    folded = any(p.fold >= 0 for p in plans)
+    rows = df.select(*[F.col(f).cast("double") for f in features], F.col("label").cast("double"), *(["fold"] if folded else []))
+    d = len(features)
+    used = [np.array([f != p.mask for f in features]) for p in plans]
+
+    def sums(cells):
+        def run(batches):
+            total = None
+            for b in batches:
+                cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+                x = (np.stack(cols[:d], axis=1) - m0) / s0
+                fold = cols[d + 1] if folded else np.full(len(x), -2)
+                part = np.stack([cells(k, x[fold != p.fold], cols[d][fold != p.fold]) for k, p in enumerate(plans)])
+                total = part if total is None else total + part
+            if total is not None:
+                at, cell = np.indices(total.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (at, cell, total)], ["plan", "cell", "v"])
+
+        found = rows.mapInArrow(run, "plan long, cell long, v double").groupBy("plan", "cell").agg(F.sum("v").alias("v")).collect()
+        out = np.zeros((len(plans), 1 + max((r["cell"] for r in found), default=0)))
+        for r in found:
+            out[r["plan"], r["cell"]] = r["v"]
+        return out
+
+    # every plan is standardised by its own rows: first moments of the commonly scaled features
+    moments = sums(lambda _, x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+    n = moments[:, 0]
+    if (n == 0).any():
+        raise ValueError("no rows to fit")
+    mean = moments[:, 1 : d + 1] / n[:, None]
+    var = moments[:, d + 1 :] / n[:, None] - mean**2
+    std = np.where(var * s0**2 <= 1e-12, 1.0 / s0, np.sqrt(np.maximum(var, 1e-300)))
+    w = np.zeros((len(plans), d + 1))
+    upper = np.triu_indices(d + 1)
+
+    def newton_cells(w):
+        def cells(k, x, y):
+            z = np.column_stack([(x - mean[k]) / std[k] * used[k], np.ones(len(x))])
+            p = _logistic(z @ w[k])
+            q = np.clip(p, LOSS_EDGE, 1 - LOSS_EDGE)
+            loss = -(y * np.log(q) + (1 - y) * np.log(1 - q)).sum()
+            return np.concatenate([[loss], z.T @ (p - y), ((z * (p * (1 - p))[:, None]).T @ z)[upper]])
+
+        return cells
+
+    penalty = np.append(np.full(d, ridge), 0.0)
+    for _ in range(rounds):
+        got = sums(newton_cells(w)) / n[:, None]
+        gradient = got[:, 1 : d + 2] + penalty * w
+        step = np.zeros_like(w)
+        for k in range(len(plans)):
+            curve = np.zeros((d + 1, d + 1))
+            curve[upper] = got[k, d + 2 :]
+            curve = curve + np.triu(curve, 1).T + np.diag(penalty + 1e-12)
+            step[k] = np.linalg.solve(curve, gradient[k])
+        w = w - step
+        if np.abs(step).max() < NEWTON_EDGE:
+            break
+    loss = sums(newton_cells(w))[:, 0] / n
+    out = []
+    for k, p in enumerate(plans):
+        own = [f for f in features if f != p.mask]
+        means, stds = m0 + mean[k] * s0, std[k] * s0
+        out.append(LogisticModel(w[k, :d][used[k]].tolist(), float(w[k, d]), means[used[k]].tolist(), stds[used[k]].tolist(), own, l2=ridge, iterations=rounds, n_train=int(n[k]), final_loss=float(loss[k])))
+    return out
+
+
+def _models_table(df: DataFrame, plans: list[Plan], models: list[LogisticModel]) -> DataFrame:
+    """One row per plan: fold, mask and the columns of MODELS."""
+    rows = [(p.fold, p.mask, m.weights, m.bias, m.means, m.stds, m.feature_names, m.n_train, m.final_loss) for p, m in zip(plans, models, strict=True)]
+    return df.sparkSession.createDataFrame(rows, f"fold int, mask string, {MODELS}")
+
+
+def cross_validated_at_scale(df: DataFrame, features: list[str], folds: int = FOLDS) -> DataFrame:
+    """cross_validated with models from fit_newton: any number of rows."""
+    plans = [Plan(k) for k in range(folds)]
+    models = _models_table(df, plans, fit_newton(df, features, plans))
+    # one row per fold
+    return df.join(F.broadcast(models), "fold").withColumn("learned", _predicted([F.col(f) for f in features])).select(*df.columns, "learned")
+
+
+def ablation_at_scale(df: DataFrame, features: list[str] = FEATURES, folds: int = FOLDS) -> DataFrame:
+    """ablation_scores with models from fit_newton: any number of rows."""
+    plans = [Plan(k, f) for f in ["", *features] for k in range(folds)]
+    return _masked_scores(df, features, _models_table(df, plans, fit_newton(df, features, plans)))
+
+
 def fit_at_scale(df: DataFrame, features: list[str], label: str = "label", ridge: float = RIDGE) -> LogisticModel:
     """The same objective minimised by MLlib over distributed rows."""
     from pyspark.ml.classification import LogisticRegression
@@ -248,6 +384,10 @@ def ablation_scores(df: DataFrame, features: list[str] = FEATURES, folds: int =
     masks = F.explode(F.array(*map(F.lit, ["", *features])))
     train = _training_rows(df, folds).withColumn("mask", masks)
     models = fit_groups(train, {"mask": "string", "fold": "int"}, features)
+    return _masked_scores(df, features, models)
+
+
+def _masked_scores(df: DataFrame, features: list[str], models: DataFrame) -> DataFrame:
     wide = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])
     rows = df.select("ord", "label", "fold", wide.alias("x"))
     # masks x folds rows
