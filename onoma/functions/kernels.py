@@ -5,11 +5,15 @@ The UDFs work on whole Arrow batches and compute each distinct input of a batch
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,6 +137,22 @@ def metaphone_codes(token: str) -> tuple[str, ...]:
     return tuple(sorted({metaphone(token), *filter(None, map(metaphone, other))}))
 
 
+@lru_cache(1)
+def _lexicon() -> dict[str, str]:
+    return vocab.spelling_lexicon()
+
+
+@lru_cache(MEMO)
+def canonical_token(token: str) -> str:
+    """Spelling class of the token, or of its folded form, or else the folded form (see native.canonical_token)."""
+    if token in _lexicon():
+        return _lexicon()[token]
+    folded = re.sub(r"(.)\1+", r"\1", token)
+    if len(folded) > 3 and folded[-1] in "hyed":
+        folded = folded[:-1]
+    return _lexicon().get(folded, folded)
+
+
 def _each(fn: Callable, *columns: Iterable) -> list:
     """fn over rows, once per distinct row; None where an input is None."""
     memo: dict = {}
@@ -188,6 +208,60 @@ def common_substring_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_each(common_substring_ratio, a, b), dtype="float64")
 
 
+NAME_TOKENS = T.StructType(
+    [
+        T.StructField("tokens", T.ArrayType(T.StringType())),
+        T.StructField("canonical", T.ArrayType(T.StringType())),
+        T.StructField("dropped", T.ArrayType(T.StringType())),
+        T.StructField("initials", T.ArrayType(T.IntegerType())),
+        T.StructField("unreadable", T.ArrayType(T.StringType())),
+    ]
+)
+_QUALIFIERS = {*vocab.SLASH_QUALIFIERS, *vocab.SPELLED_QUALIFIERS}
+_DROPPED = {*vocab.HONORIFICS, *vocab.SUFFIXES, *vocab.NOISE}
+
+
+def token_key(part: str) -> str:
+    """What a blank-separated part of a lower-cased name is compared by: letters and digits, or a slash marker."""
+    return part if part in vocab.SLASH_QUALIFIERS else re.sub("[^a-z0-9]+", "", part)
+
+
+@F.arrow_udf(NAME_TOKENS)
+def name_tokens_udf(parts: pa.Array) -> pa.Array:
+    """Parts of a name to its tokens and what was left out, see normalize.with_normalized.
+
+    Strings are only looked at once for each distinct part of a batch; the rest are array operations
+    over part numbers.
+    """
+    words = parts.flatten().dictionary_encode()
+    text = words.dictionary.to_pylist()
+    keys = [token_key(w) for w in text]
+    flag = lambda test: np.array([bool(test(w, k)) for w, k in zip(text, keys, strict=True)], bool)
+    at = words.indices.to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    first = np.cumsum(size) - size
+
+    filled = flag(lambda w, k: k)[at]
+    seen = np.concatenate([[0], np.cumsum(flag(lambda w, k: k in _QUALIFIERS)[at])])
+    related = seen[1:] > seen[first[row]]  # the qualifier and all after it
+    stays = filled & ~related & ~flag(lambda w, k: k in _DROPPED)[at]
+    unreadable = flag(lambda w, k: any(c.isalpha() and not c.isascii() for c in w))[at]
+
+    def lists(values: pa.Array, chosen: np.ndarray) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=len(size)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+    def of(forms: list[str], chosen: np.ndarray) -> pa.ListArray:
+        return lists(pa.array(forms, pa.string()).take(pa.array(at[chosen])), chosen)
+
+    kept = np.concatenate([[0], np.cumsum(stays)])
+    place = (kept[:-1] - kept[first[row]]).astype(np.int32)
+    initial = stays & flag(lambda w, k: len(k) == 1 and k.isalpha())[at]
+    columns = [of(keys, stays), of([canonical_token(k) for k in keys], stays), of(keys, filled & ~stays), lists(pa.array(place[initial]), initial), of(text, unreadable)]
+    return pa.StructArray.from_arrays(columns, NAME_TOKENS.names)
+
+
 PAIR_KERNELS = T.StructType(
     [
         T.StructField("jw_sorted", T.DoubleType()),

@@ -128,13 +128,13 @@ UNDECIDABLE = 0.5
 # The phonetic encoder's rules. First what a word's beginning turns into, then patterns
 # and their codes.
 METAPHONE_BEGINNINGS = {"AE": "E", "GN": "N", "KN": "N", "PN": "N", "WR": "R", "X": "S", "WH": "W"}
-METAPHONE_PATTERNS = dict(
-    pair.split("=")
-    for pair in (
-        "TCH=X DGE=J SCH=SK IGH=I "
-        "PH=F GH=K KH=K TH=T CH=X SH=X WH=W CK=K NG=NG QU=KW DG=J AE=E OE=O EE=E EA=E IE=I AI=E OA=O OO=U "
-        "AU=O OU=U EI=E EY=E "
-        "A=E B=B C=K D=T E=E F=F G=K H= I=I J=J K=K L=L M=M N=N O=O P=P Q=K R=R S=S T=T U=U V=F W=W X=KS Y=Y Z=S"
-    ).split(" ")
-)
+METAPHONE_PATTERNS = {
+    "TCH": "X", "DGE": "J", "SCH": "SK", "IGH": "I",
+    "PH": "F", "GH": "K", "KH": "K", "TH": "T", "CH": "X", "SH": "X", "WH": "W", "CK": "K", "NG": "NG", "QU": "KW",
+    "DG": "J", "AE": "E", "OE": "O", "EE": "E", "EA": "E", "IE": "I", "AI": "E", "OA": "O", "OO": "U", "AU": "O",
+    "OU": "U", "EI": "E", "EY": "E",
+    "A": "E", "B": "B", "C": "K", "D": "T", "E": "E", "F": "F", "G": "K", "H": "", "I": "I", "J": "J",
+    "K": "K", "L": "L", "M": "M", "N": "N", "O": "O", "P": "P", "Q": "K", "R": "R", "S": "S", "T": "T",
+    "U": "U", "V": "F", "W": "W", "X": "KS", "Y": "Y", "Z": "S",
+}
 METAPHONE_SILENT_AFTER_VOWEL = "WKY"

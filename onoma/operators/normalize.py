@@ -1,7 +1,8 @@
 """Names to structured tokens.
 
-ASCII names are normalised by native expressions alone; only names with other letters go through the
+Names are cut into parts by native expressions; only names with other letters than ASCII go through the
 diacritics kernel, on a branch of their own, because a UDF under CASE WHEN would run on every row.
+Parts become tokens in one Arrow pass without a shuffle, which looks at distinct parts of a batch once.
 """
 
 from __future__ import annotations
@@ -9,38 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onoma.functions import native, vocab
-from onoma.functions.kernels import fold_diacritics_udf
+from onoma.functions import vocab
+from onoma.functions.kernels import NAME_TOKENS, fold_diacritics_udf, name_tokens_udf
 
 ASCII = r"^[\x00-\x7F]*$"
-_DROPPED = [*vocab.HONORIFICS, *vocab.SUFFIXES, *vocab.NOISE]
 
 
 def with_normalized(df: DataFrame, folded: str, raw: Column, out: str) -> DataFrame:
     """Add ``out``: struct (raw, tokens, canonical, dropped, initials, unreadable) of the folded name.
 
-    Each step is a column of its own that later steps use more than once, so the optimiser keeps it
-    and a long name costs its length, not the square of it.
+    Slash markers are cut free anywhere; parts lie between white space. A qualifier and all after it,
+    titles, suffixes and noise are dropped. Rows never move.
     """
     markers = "(" + "|".join(vocab.SLASH_QUALIFIERS) + ")"
-    qualifiers = [*vocab.SLASH_QUALIFIERS, *vocab.SPELLED_QUALIFIERS]
     spread = F.regexp_replace(F.lower(folded), markers, " $1 ")
-    key = lambda t: F.when(t.isin(vocab.SLASH_QUALIFIERS), t).otherwise(F.regexp_replace(t, "[^a-z0-9]+", ""))
-    df = df.withColumn("__parts", F.filter(F.split(spread, r"(?U)[\s\x1c-\x1f]+"), lambda t: t != ""))
-    df = df.withColumn("__items", F.filter(F.transform("__parts", key), lambda k: k != ""))
-    df = df.withColumn("__cut", F.array_position(F.transform("__items", lambda k: k.isin(qualifiers)), True))
-    stays = lambda k, i: ((F.col("__cut") == 0) | (i < F.col("__cut") - 1)) & ~k.isin(_DROPPED)
-    df = df.withColumns({"__tokens": F.filter("__items", stays), "__dropped": F.filter("__items", lambda k, i: ~stays(k, i))})
-    places = F.transform("__tokens", lambda t, i: F.when(t.rlike("^[a-z]$"), i))
-    norm = F.struct(
-        raw.alias("raw"),
-        F.col("__tokens").alias("tokens"),
-        F.transform("__tokens", native.canonical_token).alias("canonical"),
-        F.col("__dropped").alias("dropped"),
-        F.filter(places, lambda i: i.isNotNull()).alias("initials"),
-        F.filter("__parts", lambda t: t.rlike(r"[\p{L}&&[^\x00-\x7F]]")).alias("unreadable"),
-    )
-    return df.withColumn(out, norm).drop("__parts", "__items", "__cut", "__tokens", "__dropped")
+    df = df.withColumn("__x", name_tokens_udf(F.split(spread, r"(?U)[\s\x1c-\x1f]+")))
+    norm = F.struct(raw.alias("raw"), *[F.col(f"__x.{c}").alias(c) for c in NAME_TOKENS.names])
+    return df.withColumn(out, norm).drop("__x")
 
 
 def fold_names(df: DataFrame, col: str, out: str) -> DataFrame:
