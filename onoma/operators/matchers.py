@@ -182,7 +182,8 @@ BASELINES: dict[str, tuple[str, Callable[[], Column]]] = {
     "phonetic_jaro": ("Phonetic + Jaro-Winkler", _phonetic),
     "token_aligned": ("Token-aligned weighted scorer", _aligned),
 }
-LABELS = {**{k: v[0] for k, v in BASELINES.items()}, "learned": "Learned combiner (logistic regression)"}
+LEARNED = "learned"
+LABELS = {**{k: v[0] for k, v in BASELINES.items()}, LEARNED: "Learned combiner (logistic regression)"}
 
 
 def register_matcher(key: str, label: str, score: Callable[[], Column]) -> None:
@@ -192,41 +193,65 @@ def register_matcher(key: str, label: str, score: Callable[[], Column]) -> None:
 
 
 def matcher_names() -> list[str]:
-    return [*BASELINES, "learned"]
+    return [*BASELINES, LEARNED]
 
 
-def get_matcher(key: str) -> Callable[[], Column]:
-    return BASELINES[key][1]
+def _learned(model) -> Column:
+    """Probability of a model (None: an unfitted one, which gives 0.5 and a warning) over the pair's features."""
+    from onoma.operators.features import FEATURES, features
+    from onoma.operators.model import LogisticModel
 
+    model = model or LogisticModel.unfitted()
+    if model.weights and list(model.feature_names) != list(FEATURES):
+        raise ValueError("the model was fitted on other features or another order; fit it again")
+    return model.probability(features())
 
-def matcher_scores(*keys: str) -> list[Column]:
-    """One column for each matcher."""
-    return [_gated(BASELINES[k][1]()).alias(k) for k in keys or BASELINES]
 
+def get_matcher(key: str, model=None) -> Callable[[], Column]:
+    """The matcher's score; ``model`` is the learned one's."""
+    return (lambda: _learned(model)) if key == LEARNED else BASELINES[key][1]
 
-def explanation(key: str) -> Column:
-    """What a matcher's score is made of: a map of its components."""
-    number = lambda c: c.cast("double")
-    parts = {
-        "exact_normalized": {"token_jaccard": F.col("k_jaccard"), "exact": number(F.col("k_exact"))},
-        "token_jaccard": {
-            "jaccard": F.col("k_jaccard"), "same_order": number(F.col("k_same_order")),
-            "n_tokens_a": number(F.size(F.array_distinct("a.canonical"))), "n_tokens_b": number(F.size(F.array_distinct("b.canonical"))),
-        },
-        "phonetic_jaro": {
+
+def matcher_scores(*keys: str, model=None) -> list[Column]:
+    """One column for each matcher (all but the learned one if none is named)."""
+    return [_gated(get_matcher(k, model)()).alias(k) for k in keys or BASELINES]
+
+
+def _number(c: Column) -> Column:
+    return c.cast("double")
+
+
+def _components(key: str) -> dict[str, Column]:
+    sizes = lambda name: {f"{name}_a": _number(F.size(F.array_distinct("a.canonical"))), f"{name}_b": _number(F.size(F.array_distinct("b.canonical")))}
+    if key == "exact_normalized":
+        return {"token_jaccard": F.col("k_jaccard"), "exact": _number(F.col("k_exact"))}
+    if key == "token_jaccard":
+        return {"jaccard": F.col("k_jaccard"), "same_order": _number(F.col("k_same_order")), **sizes("n_tokens")}
+    if key == "phonetic_jaro":
+        return {
             "phonetic_max": F.col("k_phonetic_max"), "phonetic_mean": F.col("k_phonetic_mean"),
             "jaro_winkler": F.greatest("k_jw_sorted", "k_jw_ordered"), "jaro_winkler_ordered": F.col("k_jw_ordered"),
-        },
-        "token_aligned": {
+        }
+    if key == "token_aligned":
+        return {
             "coverage": F.col("k_coverage"), "agreement": F.col("k_agreement"), "order_bonus": F.col("k_order_bonus"),
-            "char_signal": F.col("k_jw_sorted"), "n_aligned": number(F.col("k_n_aligned")),
-            "n_left": number(F.size("a.tokens")), "n_right": number(F.size("b.tokens")),
-        },
-    }[key]
+            "char_signal": F.col("k_jw_sorted"), "n_aligned": _number(F.col("k_n_aligned")),
+            "n_left": _number(F.size("a.tokens")), "n_right": _number(F.size("b.tokens")),
+        }
+    if key == LEARNED:
+        from onoma.operators.features import FEATURES, features
+
+        own = dict(zip(FEATURES, features(), strict=True))
+        return {**_components("phonetic_jaro"), **_components("token_aligned"), **{f"f_{k}": v for k, v in own.items()}}
+    raise KeyError(key)
+
+
+def explanation(key: str) -> Column:
+    """What a matcher's score is made of: a map of its components; the learned one's has ``f_<feature>`` too."""
     empty = F.create_map(F.lit("empty"), F.lit(1.0))
     if key == "exact_normalized":
         empty = F.create_map(
-            F.lit("empty_left"), number(F.size("a.canonical") == 0), F.lit("empty_right"), number(F.size("b.canonical") == 0)
+            F.lit("empty_left"), _number(F.size("a.canonical") == 0), F.lit("empty_right"), _number(F.size("b.canonical") == 0)
         )
-    whole = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)])
+    whole = F.create_map(*[x for k, v in _components(key).items() for x in (F.lit(k), v)])
     return F.when(F.col("k_undecidable"), F.create_map(F.lit("unsupported_script"), F.lit(1.0))).when(F.col("k_empty"), empty).otherwise(whole)

@@ -79,9 +79,11 @@ def analyse(pairs: DataFrame, folds: int = md.FOLDS) -> Analysis:
         a, b = ranked[0], ranked[1]
         two = long.filter(F.col("algorithm").isin(a["algorithm"], b["algorithm"])).groupBy("ord", "label").pivot("algorithm", [a["algorithm"], b["algorithm"]]).agg(F.first("score"))
         two = two.select("ord", "label", F.col(a["algorithm"]).alias("score_a"), F.col(b["algorithm"]).alias("score_b"))
-        out.bootstrap = {"a": a["algorithm"], "b": b["algorithm"], **ev.bootstrap_cost_delta(two, a["threshold"], b["threshold"])}
+        out.bootstrap = {"a": a["algorithm"], "b": b["algorithm"], **ev.bootstrap_as_published(two, a["threshold"], b["threshold"])}
     out.fold_losses = [r["final_loss"] for r in md.fold_models(md.with_folds(df, folds), FEATURES, folds).orderBy("fold").collect()]
     out.model = md.fit(df, FEATURES)
+    for held in (g, at, long, df):
+        held.unpersist()
     return out
 
 
@@ -91,6 +93,7 @@ def ablation(pairs: DataFrame, folds: int = md.FOLDS) -> list[dict]:
     g = ev.grid(ev.curve(md.ablation_scores(df, FEATURES, folds), "mask"), "mask")
     best = {r["mask"]: r for r in ev.with_metrics(ev.operating_points(g, "mask")).collect()}
     base, weights = best[""]["cost_per_pair"], dict(md.fit(df, FEATURES).coefficients())
+    df.unpersist()
     rows = [
         {"feature": f, "cost_per_pair": best[f]["cost_per_pair"], "delta": best[f]["cost_per_pair"] - base, "fp": best[f]["fp"], "fn": best[f]["fn"], "weight": weights[f]}
         for f in FEATURES

@@ -79,6 +79,48 @@ def test_folds(spark):
             md.with_folds(md.numbered(spark.range(n).withColumnRenamed("id", "k"), "k"), k)
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 50])
+def test_numbers_by_range(spark, ranges):
+    words = [f"w{k:03d}" for k in range(40)] + ["w007"] * 9 + [None] * 3
+    df = spark.createDataFrame([(w,) for w in words], "k string").repartition(5)
+    got = sorted(md.numbered(df, "k", ranges).collect(), key=lambda r: r["ord"])
+    assert [r["ord"] for r in got] == list(range(len(words)))
+    assert [r["k"] for r in got] == sorted(words, key=lambda w: (w is not None, w or ""))
+    assert md.numbered(df.limit(0), "k", ranges).isEmpty()
+
+
+def test_newton_finds_what_descent_finds(spark):
+    x, y = rows(200, 3)
+    x = np.column_stack([x, np.ones(200)])
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(*map(float, r), int(v), k % 4) for k, (r, v) in enumerate(zip(x, y, strict=True))], "a double, b double, c double, d double, label int, fold int").repartition(3)
+    (one,) = md.fit_newton(df, names)
+    exact = md.fit_arrays(x, y, names)
+    assert np.allclose(exact.weights, one.weights, atol=1e-4) and abs(exact.bias - one.bias) < 1e-4 and abs(exact.final_loss - one.final_loss) < 1e-6
+    assert np.allclose(exact.means, one.means) and np.allclose(exact.stds, one.stds) and one.n_train == 200
+    plans = [md.Plan(1), md.Plan(2, "b")]
+    own = [np.arange(200) % 4 != 1, np.arange(200) % 4 != 2]
+    for m, keep, cols in zip(md.fit_newton(df, names, plans), own, ([0, 1, 2, 3], [0, 2, 3]), strict=True):
+        want = md.fit_arrays(x[keep][:, cols], y[keep])
+        assert np.allclose(want.weights, m.weights, atol=1e-4) and np.allclose(want.stds, m.stds) and m.n_train == keep.sum()
+    few = md.with_folds(md.numbered(df.withColumn("k", F.monotonically_increasing_id()).drop("fold"), "k"), 4)
+    both = few.select("ord").join(md.cross_validated_at_scale(few, names, 4).select("ord", "learned"), "ord").join(md.cross_validated(few, names, 4).withColumnRenamed("learned", "want").select("ord", "want"), "ord")
+    assert all(abs(r["learned"] - r["want"]) < 1e-4 for r in both.collect())
+    masked = lambda t: {(r["mask"], r["ord"]): r["score"] for r in t.collect()}
+    a, b = masked(md.ablation_at_scale(few, names, 4)), masked(md.ablation_scores(few, names, 4))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-4 for k in a)
+    with pytest.raises(ValueError, match="no rows"):
+        md.fit_newton(df.limit(0), names)
+
+
+def test_probability_needs_finite_features(spark):
+    m = md.LogisticModel([1.0, 1.0], 0.0, [0.0, 0.0], [1.0, 1.0], ["a", "b"])
+    assert spark.range(1).select(m.probability([F.lit(0.0), F.lit(0.0)]).alias("p")).first()["p"] == 0.5
+    for bad in (float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="finite"):
+            spark.createDataFrame([(1.0, bad)], "a double, b double").select(m.probability([F.col("a"), F.col("b")]).alias("p")).collect()
+
+
 def test_fit_at_scale_finds_the_same_optimum(spark):
     x, y = rows(200, 3)
     df = spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, label int")
@@ -163,6 +205,18 @@ def test_command_line(spark, tmp_path, capsys):
         cli.main(["train", "--data", empty])
 
 
+def test_whole_command_line(tmp_path, capsys):
+    at = lambda n: str(tmp_path / n)
+    options = ["--data", at("p.csv"), "--model", at("m.json"), "--json", at("r.json"), "--markdown", at("r.md")]
+    assert cli.main(["all", *options]) == 0
+    told = capsys.readouterr().out
+    assert "learned" in told and "wrote" in told
+    body = json.loads(open(at("r.json")).read())
+    assert round(body["algorithms"]["learned"]["cost_per_pair"], 3) == 0.174 and "0.174" in open(at("r.md")).read()
+    assert cli.main(["ablate", "--data", at("p.csv"), "--json", at("a.json"), "--markdown", at("a.md")]) == 0
+    assert json.loads(open(at("a.json")).read())[1]["feature"] == "token_dice" and "token_dice" in open(at("a.md")).read()
+
+
 def test_stream_scores_like_the_table(spark, pairs, tmp_path, analysis):
     few = pairs.select("pair_id", "name_a", "name_b")
     few.repartition(3).write.parquet(str(tmp_path / "in"))
