@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +22,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is named (tests) make one."""
+    """Use the cluster's shared folder; where none is named, make one if everything runs on this machine.
+
+    Checkpoints go when nothing refers to their rows any more.
+    """
     sc = spark.sparkContext
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
             named = tempfile.mkdtemp(prefix="onoma-ckpt-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path inside the shared one; ``remove_folder`` takes it away."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def session_conf(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings (dots written as __) for what is planned and run inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    was = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 #: Removes an execution's shuffle files when it ends; a checkpoint has made them useless by then.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from onoma.llm import line_runs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,15 +57,44 @@ def test_hot_and_cold_keys_agree(spark, monkeypatch):
 
 def test_batches_and_levels(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string").filter("doc_id is not null").dropDuplicates(["doc_id"])
-    runs = line_runs.LineRuns(fanout=2)
-    for b in range(5):
-        runs.add(docs.filter(f"doc_id % 5 = {b}"))
+    lines = line_runs.hashed_lines(docs).cache()
+    parts = line_runs.in_batches(lines, 5)
+    assert len(parts) == 5 and sum(p.count() for p in parts) == lines.count()
+    ends = [tuple(p.agg(F.min("__d"), F.max("__d")).first()) for p in parts if not p.isEmpty()]
+    assert all(low > high for (low, _), (_, high) in zip(ends, ends[1:], strict=False))
+    runs = line_runs.LineRuns(spark, fanout=2)
+    for p in parts:
+        runs.add(p)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    whole = line_runs.LineRuns()
-    whole.add(docs)
+    whole = line_runs.LineRuns(spark)
+    whole.add(lines)
+    # the keeper that the anti-joins found is the largest document of all, the counts are those of all
     assert sorted(map(tuple, runs.merged().collect())) == sorted(map(tuple, whole.merged().collect()))
-    assert runs.fresh(docs).count() == 0
-    assert runs.fresh(spark.createDataFrame([(1, "a line nobody has seen so far\nshort")], "doc_id long, text string")).count() == 1
+    keys = line_runs.line_keys(lines)
+    assert runs.fresh(keys).filter("fresh").isEmpty()
+    new = line_runs.hashed_lines(spark.createDataFrame([(1, "a line nobody has seen so far\nshort")], "doc_id long, text string"))
+    assert runs.fresh(line_runs.line_keys(new)).filter("fresh").count() == 1
+    runs.remove(), whole.remove()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_runs_")]
+
+
+def test_runs_are_joined_without_shuffle_or_sort(spark):
+    lines = line_runs.hashed_lines(spark.createDataFrame([(k, f"some line that is number {k}") for k in range(50)], "doc_id long, text string"))
+    runs = line_runs.LineRuns(spark, fanout=9)
+    for k in range(2):
+        runs.add(lines.filter(f"__d % 2 = {k}"))
+    one, two = (spark.table(t) for t in runs.tables())
+    with line_runs.session_conf(spark, **line_runs.SORTED_SCANS):
+        plan = one.join(two.hint("merge"), ["h1", "h2"], "full")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.remove()
+
+
+def test_very_long_text(spark):
+    rows = [(1, "\n".join(f"long text with line number {k}" for k in range(60_000))), (2, "x" * 3_000_000), (3, "x" * 3_000_000), (4, "X" * 3_000_000 + "\nend")]
+    rows += [(5, "long text with line number 7"), (6, "Long text with line number 7 ")]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_runs.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (60_000, 1), 2: (1, 1), 3: (1, 1), 4: (2, 0), 5: (1, 1), 6: (1, 0)}
 
 
 def test_empty_table(spark):
