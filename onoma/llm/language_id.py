@@ -100,8 +100,9 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 def learn_profiles(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
     """(lang, gram, place): every language's most frequent n-grams over all rows, ties by number."""
     order = W.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
-    ranked = gram_counts(docs).withColumn("place", F.row_number().over(order) - 1)
-    return ranked.filter(F.col("place") < profile).select("lang", "gram", "place")
+    # stated as row_number <= k, every task keeps its own first k before anything is sorted in one place
+    ranked = gram_counts(docs).withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= profile)
+    return ranked.select("lang", "gram", (F.col("__nth") - 1).alias("place"))
 
 
 class Classifier:
