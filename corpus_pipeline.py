@@ -6,13 +6,11 @@ again as the next one's ``docs``. All stages but the last return the columns of
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onoma.llm import bpe, decontaminate, jaccard_join, language_id, line_runs
-from onoma.llm.common import ensure_checkpoint_dir, read_table, restored, shielded
+from onoma.llm.common import checkpointed, read_table, remove_folder, restored, shared_folder, shielded
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 NEAR_WORDS = 5
@@ -20,15 +18,16 @@ NEAR_THRESHOLD = (80, 100)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter go.
+    """Documents whose language can be told; those without any letter go. A missing ``lang`` is filled in.
 
-    Profiles are learned from all documents that name a language. If none does, all stay.
+    Profiles are learned once, from all documents that name a language. If none does, all stay.
     """
-    profiles = language_id.learn_profiles(docs)
+    profiles = checkpointed(language_id.learn_profiles(docs))
     if profiles.isEmpty():
         return docs
     found = language_id.identify(shielded(docs, ("lang_pred", "score")), profiles)
-    return restored(found.filter(F.col("lang_pred") != language_id.UNDETERMINED), docs.columns)
+    told = found.filter(F.col("lang_pred") != language_id.UNDETERMINED)
+    return restored(told.withColumn("lang", F.coalesce("lang", "lang_pred")), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,12 +81,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared folder."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what lies between them is written to the shared folder and removed once read."""
+    base = shared_folder(spark, "pipeline")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{base}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
