@@ -4,28 +4,36 @@ Every batch of training documents is a shard. Its words become numbers (those th
 uses; all others become a break), the suffixes that begin with enough benchmark words in a row are
 sorted, and every benchmark suffix is binary-searched in that order. The range of suffixes that share
 a whole window gives all its verbatim occurrences; occurrences on one diagonal join into the longest
-matches. No document moves between machines: the benchmark goes to the documents, in bounded blocks.
+matches, and these are the result: which item, where in it, where in the document, how long. No
+document moves between machines: executors prepare the benchmark in blocks of bounded size in the
+shared folder, and every shard is searched for one block after the other in a single pass.
 """
 
 from __future__ import annotations
 
+import atexit
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.llm.common import read_table, restored, shielded
+from onoma.llm.common import read_table, restored, shared_folder, shielded
+from onoma.llm.folder import Folder
 
 WINDOW = 10
 #: Bytes of benchmark text that a task holds at a time.
 BLOCK_BYTES = 8 << 20
 #: Bytes of documents that are one shard at most (a longer document is a shard alone).
 SHARD_BYTES = 16 << 20
-RESULT = ("n_words", "hit_ranges", "hit_items")
+#: Blocks that a worker holds at a time.
+HELD_BLOCKS = 2
+RESULT = ("n_words", "matches", "hit_ranges", "hit_items")
 
 
 def _word_table() -> bytes:
@@ -69,117 +77,106 @@ def suffix_keys(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
 class Block:
     """A block of the benchmark: word numbers, and for every window length its distinct windows.
 
-    windows: length -> (sorted keys, offsets into owners, owners: numbers of the items that have the key).
-    vocab_of: length -> for every word number whether an item with windows of that length has it.
+    names: the item's id for every row of the benchmark. windows: length -> (sorted keys, offsets into
+    places, places: rows, places: first words in the row). vocab_of: length -> for every word number
+    whether an item with windows of that length has it.
     """
 
     vocabulary: dict[bytes, int]
-    item_ids: list[str]
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    names: list[str]
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     vocab_of: dict[int, np.ndarray]
 
 
 def build_block(items: list[tuple[str, bytes]], window: int = WINDOW) -> Block:
     vocab: dict[bytes, int] = {}
-    names = sorted({i for i, _ in items})
-    number = {n: k for k, n in enumerate(names)}
     by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
-    for name, text in items:
+    for row, (_, text) in enumerate(items):
         ids = np.array([vocab.setdefault(w, len(vocab) + 1) for w in words_of(text)], np.int32)
         if n := min(len(ids), window):
-            by_length.setdefault(n, []).append((ids, number[name]))
+            by_length.setdefault(n, []).append((ids, row))
     windows, vocab_of = {}, {}
     for n, found in by_length.items():
         keys = np.concatenate([suffix_keys(i, np.arange(len(i) - n + 1), n) for i, _ in found])
-        owner = np.concatenate([np.full(len(i) - n + 1, k) for i, k in found])
-        uniq, at = np.unique(keys, return_inverse=True)
-        pairs = np.unique(at.astype(np.int64) * len(names) + owner)
-        offsets = np.searchsorted(pairs // len(names), np.arange(len(uniq) + 1))
-        windows[n] = (uniq, offsets, pairs % len(names))
+        row = np.concatenate([np.full(len(i) - n + 1, k) for i, k in found])
+        place = np.concatenate([np.arange(len(i) - n + 1) for i, _ in found])
+        order = np.argsort(keys, kind="stable")
+        uniq, begin = np.unique(keys[order], return_index=True)
+        windows[n] = (uniq, np.append(begin, len(keys)), row[order], place[order])
         used = np.zeros(len(vocab) + 1, bool)
         for i, _ in found:
             used[i] = True
         vocab_of[n] = used
-    for n, used in vocab_of.items():
-        vocab_of[n] = np.concatenate([used, np.zeros(len(vocab) + 1 - len(used), bool)])
-    return Block(vocab, names, windows, vocab_of)
+    return Block(vocab, [name for name, _ in items], windows, vocab_of)
+
+
+#: (row of the block, first word in the item, first word in the document, words)
+Match = tuple[int, int, int, int]
 
 
-def search_shard(texts: list[bytes], block: Block) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
-    """Words, merged hit ranges (in words) and items found, of every text of a shard."""
+def search_shard(texts: list[list[bytes]], block: Block) -> list[list[Match]]:
+    """All matches that can't be lengthened, of every document (its words) of a shard, in order."""
     get = block.vocabulary.get
-    parts, counts = [], []
     gap = np.zeros(max(block.windows, default=1), np.int32)
-    for t in texts:
-        ws = words_of(t)
-        counts.append(len(ws))
-        parts.append(np.fromiter(map(get, ws, repeat(0)), np.int32, len(ws)))
-        parts.append(gap)
+    parts = [x for ws in texts for x in (np.fromiter(map(get, ws, repeat(0)), np.int32, len(ws)), gap)]
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    begin = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) + len(gap))])
-    step = np.zeros(len(ids) + 1, np.int32)
-    pairs = []
-    for n, (keys, offsets, owners) in block.windows.items():
+    begin = np.concatenate([[0], np.cumsum(np.array([len(ws) for ws in texts], np.int64) + len(gap))])
+    out: list[list[Match]] = [[] for _ in texts]
+    for n, (keys, offsets, rows, places) in block.windows.items():
         breaks = np.concatenate([[0], np.cumsum(~block.vocab_of[n][ids])])
         starts = np.flatnonzero(breaks[n:] == breaks[: len(breaks) - n]) if len(ids) >= n else np.zeros(0, np.int64)
         if not len(starts):
             continue
         array = SuffixArray(ids, starts, n)
         lo, hi = array.ranges(keys)
-        for k in np.flatnonzero(hi > lo):
-            at = array.starts[lo[k] : hi[k]]
-            step[at] += 1
-            step[at + n] -= 1
-            docs = np.unique(np.searchsorted(begin, at, "right") - 1)
-            own = owners[offsets[k] : offsets[k + 1]]
-            pairs.append((np.repeat(docs, len(own)) * len(block.item_ids) + np.tile(own, len(docs))))
-    ranges: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[list[str]] = [[] for _ in texts]
-    if pairs:
-        hit = np.concatenate([[0], (np.cumsum(step) > 0).astype(np.int8), [0]])
-        edge = np.diff(hit)
-        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-            d = int(np.searchsorted(begin, a, "right")) - 1
-            ranges[d].append((a - int(begin[d]), b - int(begin[d])))
-        for p in np.unique(np.concatenate(pairs)).tolist():
-            items[p // len(block.item_ids)].append(block.item_ids[p % len(block.item_ids)])
-    return counts, ranges, items
-
-
-def longest_matches(text: bytes, item: bytes, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(word of the item, word of the text, length) of all matches that can't be lengthened."""
-    block = build_block([("", item)], window)
-    get = block.vocabulary.get
-    a = np.array([get(w, 0) for w in words_of(item)], np.int32)
-    b = np.array([get(w, 0) for w in words_of(text)] + [0] * window, np.int32)
-    n = min(len(a), window)
-    if not n or len(b) - window < n:
-        return []
-    array = SuffixArray(b, np.flatnonzero(np.lib.stride_tricks.sliding_window_view(b, n).all(1)), n)
-    keys = suffix_keys(a, np.arange(len(a) - n + 1), n)
-    lo, hi = array.ranges(keys)
-    at = {(int(i), int(p)) for i in range(len(keys)) for p in array.starts[lo[i] : hi[i]]}
-    out = []
-    for i, p in sorted(at):
-        if (i - 1, p - 1) not in at:
-            k = 0
-            while (i + k + 1, p + k + 1) in at:
-                k += 1
-            out.append((i, p, k + n))
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            continue
+        here = [array.starts[lo[k] : hi[k]] for k in hit]
+        there = [slice(offsets[k], offsets[k + 1]) for k in hit]
+        at = np.concatenate([np.repeat(h, t.stop - t.start) for h, t in zip(here, there, strict=True)])
+        row = np.concatenate([np.tile(rows[t], len(h)) for h, t in zip(here, there, strict=True)])
+        place = np.concatenate([np.tile(places[t], len(h)) for h, t in zip(here, there, strict=True)])
+        # windows one after the other on a diagonal of (row, document) are one match
+        order = np.lexsort((at, at - place, row))
+        at, row, place = at[order], row[order], place[order]
+        goes_on = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (place[1:] == place[:-1] + 1)
+        first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+        length = np.diff(np.append(first, len(at))) + n - 1
+        doc = np.searchsorted(begin, at[first], "right") - 1
+        found = zip(doc.tolist(), row[first].tolist(), place[first].tolist(), (at[first] - begin[doc]).tolist(), length.tolist(), strict=True)
+        for d, *match in found:
+            out[d].append(tuple(match))
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    block, size = [], 0
-    for r in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull()).toLocalIterator():
-        text = r[1].encode()
-        if block and size + len(text) > most:
-            yield block
-            block, size = [], 0
-        block.append((r[0] or "", text))
-        size += len(text)
-    if block:
-        yield block
+def write_blocks(benchmark: DataFrame, folder: Folder, id_col: str, text_col: str, window: int, most: int) -> list[str]:
+    """Names of the files in ``folder`` that executors wrote, one for each block of at most ``most`` bytes of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, size = [], 0
+
+        def done() -> pa.RecordBatch:
+            name = f"block-{uuid.uuid4().hex}"
+            folder.put(name, [pickle.dumps(build_block(items, window))])
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if items and size + len(text) > most:
+                    yield done()
+                    items, size = [], 0
+                items.append((name or "", text))
+                size += len(text)
+        if items:
+            yield done()
+
+    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).filter(F.col(text_col).isNotNull())
+    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return sorted(r["name"] for r in rows.coalesce(1 + total // most).mapInArrow(run, "name string").collect())
+
+
+MATCHES = "array<struct<item:string,at:int,start:int,length:int>>"
 
 
 def find_contamination(
@@ -192,44 +189,67 @@ def find_contamination(
     keep_text: bool = True,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """All columns of ``docs`` plus ``n_words``, ``hit_ranges`` and ``hit_items``.
+    """All columns of ``docs`` plus ``n_words``, ``matches``, ``hit_ranges`` and ``hit_items``.
 
-    ``hit_ranges``: merged [start, end) word ranges that verbatim occurrences of benchmark windows
-    cover; ``hit_items``: the ids (as strings, sorted) of the items they come from. A window is
-    ``window`` words of an item, or all of an item that has fewer. Words are compared with A-Z
-    lower-cased; punctuation and white space between them don't count.
+    ``matches``: the longest verbatim matches of at least a window, sorted: the item's id (as a string),
+    the match's first word in the item (``at``) and in the document (``start``), and its words.
+    ``hit_ranges``: the merged [start, end) word ranges that they cover; ``hit_items``: the items'
+    sorted ids. A window is ``window`` words of an item, or all of an item that has fewer. Words are
+    compared with A-Z lower-cased; punctuation and white space between them don't count.
 
     Null text has no words; items without words match nothing; an item's id may be null (empty
-    string) or repeat (one item). Rows are judged one by one, so repeated rows get repeated results.
-    Columns of ``docs`` with the result's names are replaced. ``keep_text=False`` drops the text.
+    string) or repeat (one item in ``hit_items``, matches for each of its rows). Rows are judged one by
+    one, so repeated rows get repeated results, whatever the length of their texts; an empty table gives
+    no rows. Columns of ``docs`` with the result's names are replaced. ``keep_text=False`` drops the text.
     """
-    spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in RESULT]
-    out = docs.select(*kept).withColumns(
-        {
-            "n_words": F.lit(None).cast("long"),
-            "hit_ranges": F.lit(None).cast("array<struct<start:int,end:int>>"),
-            "hit_items": F.lit(None).cast("array<string>"),
-        }
+    folder = Folder(shared_folder(docs.sparkSession, "benchmark"))
+    names = write_blocks(benchmark, folder, item_col, text_col, window, block_bytes)
+    atexit.register(folder.remove)
+    fields = [f for f in docs.schema if f.name not in RESULT]
+    kept = [f for f in fields if keep_text or f.name != "text"]
+    ddl = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long", f"matches {MATCHES}"]
+    found = docs.select(*[f.name for f in fields]).mapInArrow(_search(folder, names, [f.name for f in kept]), ", ".join(ddl))
+    covered = F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["length"]).alias("end"))))
+    return found.withColumns({"hit_ranges": merged_ranges(covered), "hit_items": F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))})
+
+
+def merged_ranges(ranges: Column) -> Column:
+    """Sorted [start, end) ranges with those that overlap or touch joined."""
+    ends = lambda acc, r: F.struct(
+        F.when(r["start"] > acc["end"], F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))).otherwise(acc["out"]).alias("out"),
+        F.when(r["start"] > acc["end"], r["start"]).otherwise(acc["start"]).alias("start"),
+        F.greatest(acc["end"], r["end"]).alias("end"),
     )
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_col, text_col, block_bytes)]
-    for n, shared in enumerate(blocks or [spark.sparkContext.broadcast([])]):
-        drop = not keep_text and n >= len(blocks) - 1
-        fields = [f for f in out.schema if not (drop and f.name == "text")]
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        out = out.mapInArrow(_search(shared, window, [f.name for f in fields]), ddl)
-    return out
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    first = F.get(ranges, F.lit(0))
+    zero = F.struct(none.alias("out"), first["start"].alias("start"), first["end"].alias("end"))
+    close = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))
+    return F.when(F.size(ranges) > 0, F.aggregate(ranges, zero, ends, close)).otherwise(none)
 
 
-def _search(shared, window: int, names: list[str]):
-    state: list[Block] = []
+def _search(folder: Folder, names: list[str], kept: list[str]):
+    blocks: dict[str, Block] = {}
+
+    def block(name: str) -> Block:
+        if name not in blocks:
+            if len(blocks) >= HELD_BLOCKS:
+                del blocks[next(iter(blocks))]
+            blocks[name] = pickle.loads(folder.get(name))
+        return blocks[name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not state:
-            state.append(build_block(shared.value, window))
-        for b in batches:
-            for part in _shards(b):
-                yield _searched(part, state[0], names)
+        for whole in batches:
+            for b in _shards(whole):
+                col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+                texts = [words_of(t or b"") for t in col["text"].cast(pa.binary()).to_pylist()]
+                found: list[list[tuple]] = [[] for _ in texts]
+                for name in names:
+                    for mine, more in zip(found, search_shard(texts, block(name)), strict=True):
+                        mine += [(block(name).names[row], *rest) for row, *rest in more]
+                kind = pa.struct([("item", pa.string()), ("at", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
+                rows = [[dict(zip(kind.names, m, strict=True)) for m in sorted(ms)] for ms in found]
+                told = [pa.array([len(ws) for ws in texts], pa.int64()), pa.array(rows, pa.list_(kind))]
+                yield pa.RecordBatch.from_arrays([*(col[n] for n in kept), *told], [*kept, "n_words", "matches"])
 
     return run
 
@@ -245,36 +265,10 @@ def _shards(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def _searched(b: pa.RecordBatch, block: Block, names: list[str]) -> pa.RecordBatch:
-    col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
-    texts = [t or b"" for t in col["text"].cast(pa.binary()).to_pylist()]
-    counts, ranges, items = search_shard(texts, block)
-    for k, (r, i) in enumerate(zip(col["hit_ranges"].to_pylist(), col["hit_items"].to_pylist(), strict=True)):
-        if r:
-            ranges[k] = merge_ranges([*ranges[k], *((x["start"], x["end"]) for x in r)])
-        if i:
-            items[k] = sorted({*items[k], *i})
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    col["n_words"] = pa.array(counts, pa.int64())
-    col["hit_ranges"] = pa.array([[{"start": a, "end": z} for a, z in r] for r in ranges], kind)
-    col["hit_items"] = pa.array(items, pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays([col[n] for n in names], names)
-
-
-def merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, z in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
-
-
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, with their own columns."""
     found = find_contamination(shielded(docs, RESULT), benchmark, window=window)
-    return restored(found.filter(F.size("hit_ranges") == 0), docs.columns)
+    return restored(found.filter(F.size("matches") == 0), docs.columns)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +281,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         n_hit.alias("n_hit"),
         F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
-        (F.size("hit_ranges") > 0).alias("contaminated"),
+        (F.size("matches") > 0).alias("contaminated"),
+        F.size("matches").cast("long").alias("n_matches"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest"),
     )
 
 
@@ -296,18 +292,22 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
+  SELECT row_number() OVER () AS br, CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (
-  SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS win
-  FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+  SELECT br, item, n, i AS p, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM (SELECT br, item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
 dw AS (
   SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
   FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
-m AS (SELECT DISTINCT r, dw.n, i, item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+m AS (SELECT r, dw.n, i, br, item, p FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+g AS (SELECT r, n, i - row_number() OVER (PARTITION BY r, br, i - p ORDER BY i) AS island, br, i - p AS diagonal FROM m),
+x AS (SELECT r, count(*) + any_value(n) - 1 AS len FROM g GROUP BY r, br, diagonal, island),
+y AS (SELECT r, count(*) AS n_matches, max(len) AS longest FROM x GROUP BY r),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, n, i FROM m)) GROUP BY r),
 t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN t ON d.r = t.r
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_matches, 0) AS n_matches, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN t ON d.r = t.r LEFT JOIN y ON d.r = y.r
 """

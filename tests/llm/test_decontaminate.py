@@ -55,11 +55,46 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert sorted(r["doc_id"] or -1 for r in clean.collect()) == sorted(i or -1 for i, t in docs if not slow(t, items)[1])
 
 
-def test_longest_matches():
-    text = b"a b c d e f g h i j k l x a b c d e f g h i j"
-    item = b"z a b c d e f g h i j k l m"
-    assert d.longest_matches(text, item) == [(1, 0, 12), (1, 13, 10)]
-    assert d.longest_matches(b"q r s", b"r s") == [(0, 1, 2)] and d.longest_matches(b"q", b"r s") == []
+def slow_matches(text, items):
+    """Matches of a window at least that can't be lengthened, found by trying every pair of places."""
+    ws, out = words(text), []
+    for name, t in items:
+        b = words(t)
+        n = min(10, len(b))
+        same = {(i, k) for i in range(len(b)) for k in range(len(ws)) if b[i] == ws[k]}
+        for i, k in sorted(same):
+            if (i - 1, k - 1) not in same:
+                length = 1
+                while (i + length, k + length) in same:
+                    length += 1
+                if length >= n > 0:
+                    out.append(("" if name is None else str(name), i, k, length))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [d.BLOCK_BYTES, 60])
+def test_longest_matches(spark, block):
+    docs, items = corpus()
+    # a text that repeats a word longer than the window matches on every diagonal
+    found = d.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    got = sorted(((r["doc_id"], [tuple(m) for m in r["matches"]]) for r in found.collect()), key=repr)
+    assert got == sorted(((i, slow_matches(t, items)) for i, t in docs), key=repr)
+
+
+def test_matches_of_one_text():
+    text, item = b"a b c d e f g h i j k l x a b c d e f g h i j", b"z a b c d e f g h i j k l m"
+    block = d.build_block([("", item), ("s", b"k l")])
+    assert d.search_shard([d.words_of(text), [], d.words_of(b"k l")], block) == [[(0, 1, 0, 12), (0, 1, 13, 10), (1, 0, 10, 2)], [], [(1, 0, 0, 2)]]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    item = " ".join(f"q{k}" for k in range(40))
+    long = [f"w{rng.randrange(500)}" for _ in range(400_000)]
+    long[300_000:300_000] = item.split()
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, "q5 " * 100_000), (3, " ".join(long[:1000]))], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(m) for m in r["matches"]] for r in d.find_contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {1: [("7", 0, 300_000, 40)], 2: [], 3: []}
 
 
 def test_suffix_order():
@@ -74,4 +109,4 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert d.find_contamination(none, bench).count() == 0
     (r,) = d.find_contamination(one, bench).collect()
-    assert (r["n_words"], r["hit_ranges"], r["hit_items"]) == (2, [], [])
+    assert (r["n_words"], r["matches"], r["hit_ranges"], r["hit_items"]) == (2, [], [], [])
