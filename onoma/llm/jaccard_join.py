@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onoma.llm.common import checkpointed, read_table
@@ -31,6 +31,10 @@ THRESHOLD = (90, 100)
 #: Members of a group that are worked off at a time, queries that meet them at a time.
 MEMBERS = 192
 QUERIES = 256
+#: Tokens (of 8 bytes) that the members of a part have in all, about.
+PART_TOKENS = 4_000_000
+#: Bits of a set's name; sets of one name are told apart by 64 more.
+NAME_BITS = 64
 #: Ids (of 32 bytes) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 CACHE_WORDS = 150_000
@@ -70,10 +74,11 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 64-bit name of a whole set."""
-    x = _mix(np.array([(s * _M2).sum() ^ np.uint64(len(s)), np.bitwise_xor.reduce(_mix(s))], np.uint64))
-    return int((_mix(x[:1] + x[1:]) >> np.uint64(1))[0])
+def set_names(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a whole set: the one it goes by, and one that tells sets of one name apart."""
+    total, folded = (s * _M2).sum() ^ np.uint64(len(s)), np.bitwise_xor.reduce(_mix(s))
+    x = _mix(np.array([total ^ _mix(folded[None])[0], folded + _M1 * total], np.uint64)).view(np.int64)
+    return int(x[0]), int(x[1])
 
 
 def prefix_length(n: int, threshold: tuple[int, int]) -> int:
@@ -112,21 +117,40 @@ def _set_columns(sets: list[np.ndarray], share: float, threshold: tuple[int, int
 
 
 def shingle_sets(docs: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
-    """(doc_id, th, sid and _SETS, tokens sampled) of every row. Empty sets have sid null."""
-    share = sampled(threshold)
+    """(doc_id, th, sid, other and _SETS, tokens sampled) of every row. Empty sets have sid and other null."""
+    share, drop = sampled(threshold), 64 - NAME_BITS
+    names = ["doc_id", "th", "sid", "other", "n", "tokens", "more", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 sets = [shingles(t.as_py(), words) for t in part.column(2)]
-                sid = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-                cols = _set_columns(sets, share, threshold)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sid, *cols], ["doc_id", "th", "sid", "n", "tokens", "more", "keys"])
+                told = [set_names(s) if len(s) else (None, None) for s in sets]
+                sid = pa.array([x if x is None else x >> drop for x, _ in told], pa.int64())
+                cols = [sid, pa.array([y for _, y in told], pa.int64()), *_set_columns(sets, share, threshold)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, sid long, {_SETS}")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, sid long, other long, {_SETS}")
+
+
+def distinct_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (shingle_sets) and one row of (sid and _SETS) for every different set, both checkpointed.
+
+    Sets of one ``sid`` are the same only if ``other`` is too: where it is not, they get new names
+    from both, until every name stands for one set. That is 128 bits for all, at the price of 64.
+    """
+    rows = checkpointed(rows)
+    while True:
+        named = rows.filter(F.col("sid").isNotNull()).groupBy("sid")
+        sets = checkpointed(named.agg(*[F.first(c).alias(c) for c in ("n", "tokens", "more", "keys")], (F.min("other") != F.max("other")).alias("mixed")))
+        mixed = sets.filter("mixed").select("sid", "mixed")
+        if mixed.isEmpty():
+            return rows, sets.drop("mixed")
+        new = F.when(F.col("mixed"), F.xxhash64("sid", "other")).otherwise(F.col("sid"))
+        rows = checkpointed(rows.join(mixed, "sid", "left").select(*[new.alias(c) if c == "sid" else c for c in rows.columns]))
 
 
 def whole_sets(texts: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
@@ -168,6 +192,18 @@ def first_tokens(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return first.join(met, "token")
 
 
+def qualifies(union: np.ndarray, query: np.ndarray, threshold: tuple[int, int]) -> bool:
+    """Whether the query shares enough with a group's token union to reach the threshold with any member.
+
+    What it shares with a member is no more than that, and a member that shares k of the query's n
+    tokens reaches num / den only if den * k >= num * n.
+    """
+    num, den = threshold
+    at = np.searchsorted(union, query)
+    shared = int((union[np.minimum(at, len(union) - 1)] == query).sum()) if len(union) else 0
+    return den * shared >= num * len(query)
+
+
 class GroupMatrix:
     """Token rows of one group: its sorted token union, and for every token the members that have it."""
 
@@ -183,10 +219,10 @@ class GroupMatrix:
     def links(self, query: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
         """Members that reach the threshold with the query; none are counted if the union can't."""
         num, den = threshold
-        at = np.searchsorted(self.union, query)
-        at = at[self.union[np.minimum(at, len(self.union) - 1)] == query] if len(self.union) else at[:0]
-        if den * len(at) < num * len(query):
+        if not qualifies(self.union, query, threshold):
             return np.zeros(0, np.int64)
+        at = np.searchsorted(self.union, query)
+        at = at[self.union[np.minimum(at, len(self.union) - 1)] == query]
         lo, hi = self.begin[at], self.begin[at + 1]
         runs = hi - lo
         pos = np.repeat(lo - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
@@ -226,31 +262,59 @@ def _link_members(words: int, threshold: tuple[int, int]):
     return run
 
 
-def _open_group(words: int, threshold: tuple[int, int]):
+def _tokens(table: pa.Table) -> list[np.ndarray]:
+    return [np.array(x.as_py(), np.int64).view(np.uint64) for x in table.column("tokens")]
+
+
+def _group_union(table: pa.Table) -> pa.Table:
+    """(g, part, tokens): the token union of a part of a group, all that a query is asked about at first."""
+    union = np.unique(np.concatenate(_tokens(table)))
+    told = [table.column(c).slice(0, 1).combine_chunks() for c in ("g", "part")]
+    return pa.table([*told, pa.array([union.view(np.int64)], pa.list_(pa.int64()))], names=["g", "part", "tokens"])
+
+
+def _ask_union(threshold: tuple[int, int]):
+    """(sid, g, part) of the queries for which the group has to be opened; the row without sid is its union."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, sets = table.column("sid").to_pylist(), _tokens(table)
+        union = sets[ids.index(None)]
+        open_for = [k for k, sid in enumerate(ids) if sid is not None and qualifies(union, sets[k], threshold)]
+        return table.select(["sid", "g", "part"]).take(pa.array(open_for, pa.int64()))
+
+    return run
+
+
+def _open_group(threshold: tuple[int, int]):
     """Links between the queries and the members of a group; a query's links to one part count once."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, query, texts = (table.column(c).to_pylist() for c in ("sid", "query", "text"))
+        ids, query, sets = table.column("sid").to_pylist(), table.column("query").to_pylist(), _tokens(table)
         own = [k for k, q in enumerate(query) if not q]
-        m = GroupMatrix([shingles(texts[k], words) for k in own])
+        m = GroupMatrix([sets[k] for k in own])
         pairs = []
         for k, q in enumerate(query):
-            if q and len(found := m.links(shingles(texts[k], words), threshold)):
+            if q and len(found := m.links(sets[k], threshold)):
                 pairs.append((ids[k], ids[own[int(found[0])]]))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
 
+def _parts(size: str, tokens: str) -> Column:
+    """In how many parts a group of so many sets with so many tokens in all is kept."""
+    return F.greatest(F.ceil(F.col(size) / MEMBERS), F.ceil(F.col(tokens) / PART_TOKENS)).cast("int")
+
+
 def _inner_links(first: DataFrame, texts: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
     """Links inside groups of sets that share a min-hash: four partitions of the sets by likeness.
 
-    A large group is dealt out in parts of MEMBERS, each with the group's smallest set in it, so that
-    parts of one kind join up.
+    A large group is dealt out in parts of about MEMBERS sets and PART_TOKENS tokens, each with the
+    group's smallest set in it, so that parts of one kind join up.
     """
-    keyed = first.select("sid", "keys").dropDuplicates(["sid"]).select("sid", F.posexplode("keys").alias("r", "key"))
-    groups = keyed.groupBy("r", "key").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("leader")).filter("size > 1")
-    groups = checkpointed(groups.withColumn("parts", F.ceil(F.col("size") / MEMBERS).cast("int")))
+    keyed = first.select("sid", "n", "keys").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("keys").alias("r", "key"))
+    groups = keyed.groupBy("r", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"), F.min("sid").alias("leader"))
+    groups = checkpointed(groups.filter("size > 1").withColumn("parts", _parts("size", "tokens")))
     members = keyed.join(groups, ["r", "key"])
     dealt = members.select("r", "key", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"), "sid")
     leaders = groups.filter("parts > 1").select("r", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("sid"))
@@ -261,17 +325,19 @@ def _inner_links(first: DataFrame, texts: DataFrame, words: int, threshold: tupl
 def _outer_links(first: DataFrame, labels: DataFrame, texts: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
     """Links between sets of different groups that share a first token: the queries.
 
-    A group is kept in parts of MEMBERS. A set asks a part only if a first token of both leaves room
-    for the threshold: what they share begins at their first common token, so it can't be more than
-    what either has from there on.
+    A group is kept in parts, and each part's token union is stored. A set asks a part only if a first
+    token of both leaves room for the threshold: what they share begins at their first common token, so it
+    can't be more than what either has from there on. It is asked of the union first, and only the parts
+    whose union qualifies for some query are opened: their members are read for those queries alone.
     """
     num, den = threshold
     labelled = first.select("sid", "n", "token", "pos").join(labels, "sid", "left").withColumn("g", F.coalesce("label", "sid")).drop("label")
     labelled = checkpointed(labelled)
-    sizes = checkpointed(labelled.select("sid", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("size")))
+    sizes = labelled.select("sid", "n", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
+    sizes = checkpointed(sizes.select("g", "size", _parts("size", "tokens").alias("parts")))
     met = labelled.select("token", "g").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("gs")).filter("gs > 1")
     met = checkpointed(met.select("token"))
-    part = F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / MEMBERS)).cast("int")
+    part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
     shared = labelled.join(met, "token").join(sizes, "g").withColumn("part", part)
     shared = checkpointed(shared.withColumn("rest", F.col("n") - F.col("pos") + 1))
     there = shared.groupBy("token", F.col("g").alias("to"), F.col("size").alias("to_size"), F.col("part").alias("to_part")).agg(
@@ -286,23 +352,36 @@ def _outer_links(first: DataFrame, labels: DataFrame, texts: DataFrame, words: i
         & ((num + den) * F.least("rest", "most_rest") >= num * (F.col("n") + F.col("least")))
     )
     asks = checkpointed(asks.select("sid", F.col("to").alias("g"), F.col("to_part").alias("part")).distinct())
-    turns = asks.groupBy("g", "part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("turns"))
-    queries = asks.join(turns, ["g", "part"]).select(
-        "g", "part", F.pmod(F.xxhash64("sid"), F.col("turns")).cast("int").alias("turn"), "sid", F.lit(True).alias("query")
-    )
-    members = labelled.select("sid", "g").distinct().join(sizes, "g").select("sid", "g", part.alias("part"))
-    own = members.join(turns, ["g", "part"]).select(
-        "g", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "sid", F.lit(False).alias("query")
-    )
-    rows = queries.union(own).join(texts, "sid")
-    return rows.groupBy("g", "part", "turn").applyInArrow(_open_group(words, threshold), LINK)
+    members = labelled.select("sid", "g").distinct().join(sizes, "g").select("g", part.alias("part"), "sid")
+    members = checkpointed(members.join(asks.select("g", "part").distinct(), ["g", "part"]))
+    wanted = asks.select("sid").union(members.select("sid")).distinct()
+    sets = checkpointed(whole_sets(texts.join(wanted, "sid"), words, threshold).select("sid", "tokens"))
+
+    unions = checkpointed(members.join(sets, "sid").groupBy("g", "part").applyInArrow(_group_union, "g long, part int, tokens array<long>"))
+    asked, turns = _in_turns(asks)
+    rows = asked.join(sets, "sid").select("g", "part", "turn", "sid", "tokens")
+    rows = rows.union(unions.join(turns, ["g", "part"]).select("g", "part", "turn", F.lit(None).cast("long").alias("sid"), "tokens"))
+    opened = checkpointed(rows.groupBy("g", "part", "turn").applyInArrow(_ask_union(threshold), "sid long, g long, part int"))
+
+    asked, turns = _in_turns(opened)
+    rows = asked.select("g", "part", "turn", "sid", F.lit(True).alias("query"))
+    rows = rows.union(members.join(turns, ["g", "part"]).select("g", "part", "turn", "sid", F.lit(False).alias("query")))
+    return rows.join(sets, "sid").groupBy("g", "part", "turn").applyInArrow(_open_group(threshold), LINK)
+
+
+def _in_turns(asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries of (sid, g, part) with the turn in which they ask, at most about QUERIES in one; and all turns."""
+    many = asks.groupBy("g", "part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("turns"))
+    asked = asks.join(many, ["g", "part"]).select("g", "part", F.pmod(F.xxhash64("sid"), F.col("turns")).cast("int").alias("turn"), "sid")
+    return asked, many.select("g", "part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
 
 
 def jaccard_components(docs: DataFrame, *, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, th, n_shingles, sid, root, component_id) of every row of (doc_id, text).
 
     Documents whose shingle sets have Jaccard similarity of at least ``threshold`` (a fraction, exact)
-    are linked; component_id is the smallest doc_id that links reach. ``sid`` names the set (64 bits),
+    are linked; component_id is the smallest doc_id that links reach. ``sid`` names the set (64 bits,
+    sets of one name are told apart by 64 more),
     ``root`` the component (both null for documents without words, which link with nothing),
     ``th`` is the text's hash.
 
@@ -310,10 +389,9 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, threshold: tuple[
     component's smallest unless it has no other. Repeated rows come out repeated; other columns are
     ignored. An empty table gives no rows.
     """
-    rows = checkpointed(shingle_sets(docs.select("doc_id", "text"), words, threshold))
+    rows, sampled_sets = distinct_sets(shingle_sets(docs.select("doc_id", "text"), words, threshold))
     some = rows.filter(F.col("sid").isNotNull())
     source = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("source")
-    sampled_sets = checkpointed(some.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "tokens", "more", "keys")]))
     sets = some.groupBy("sid").agg(source)
     may_meet = first_tokens(sampled_sets, threshold).select("sid").distinct()
     wanted = checkpointed(may_meet.join(sets.select("sid", "source.doc_id", "source.th"), "sid"))

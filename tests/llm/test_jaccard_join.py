@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from onoma.llm import jaccard_join as j
@@ -93,3 +94,40 @@ def test_components_of_long_chains_with_shuffled_ids(spark):
     links = [*itertools.pairwise(ids[:3000]), *itertools.pairwise(ids[3000:])]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(ids[:3000], min(ids[:3000])), **dict.fromkeys(ids[3000:], min(ids[3000:]))}
+
+
+@pytest.mark.parametrize(("bits", "tokens"), [(5, 4_000_000), (64, 100)])
+def test_colliding_names_and_small_parts(spark, monkeypatch, bits, tokens):
+    """32 names for all sets; parts of very few tokens."""
+    monkeypatch.setattr(j, "NAME_BITS", bits)
+    monkeypatch.setattr(j, "PART_TOKENS", tokens)
+    rows = corpus(5, 150)
+    got = j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=3, threshold=(80, 100))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=repr) == slow(rows, 3, (80, 100))
+
+
+def test_union_bound_never_shuts_a_group_that_links():
+    rng = random.Random(2)
+    shut = 0
+    for _ in range(300):
+        base = rng.sample(range(1000), 40)
+        members = [np.unique(np.array([x for x in base if rng.random() < 0.95] + rng.sample(range(1000), 2), np.uint64)) for _ in range(5)]
+        query = np.unique(np.array([x for x in base if rng.random() < 0.97] + rng.sample(range(2000, 3000), rng.choice([0, 1, 20])), np.uint64))
+        want = [k for k, m in enumerate(members) if 10 * len(np.intersect1d(m, query)) >= 8 * len(np.union1d(m, query))]
+        matrix = j.GroupMatrix(members)
+        assert matrix.links(query, (8, 10)).tolist() == want
+        if not j.qualifies(matrix.union, query, (8, 10)):
+            shut += 1
+            assert not want
+    assert shut
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(100_000)}" for _ in range(200_000)]
+    near = list(long)
+    for k in range(0, len(near), 400):
+        near[k] = "changed"
+    rows = [(3, " ".join(long)), (1, " ".join(near)), (2, " ".join(long[:1000])), (4, "x " * 300_000), (5, "x x x")]
+    got = j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=3, threshold=(90, 100))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 3: 1, 2: 2, 4: 4, 5: 4}
