@@ -13,19 +13,16 @@ pairs of a block of documents, shard by shard; no text and no model moves throug
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.llm.common import crc_mod, ensure_checkpoint_dir, read_table
+from onoma.llm.common import crc_mod, read_table, shared_folder, shuffle_partitions
+from onoma.llm.folder import Folder
 
 #: Tokens that a task folds before it sends them, and tokens that are looked up at a time.
 FOLD_TOKENS = 3_000_000
@@ -34,6 +31,8 @@ BLOCK_TOKENS = 1_000_000
 SHARD_BYTES = 32 << 20
 #: Words grow slower than pairs: so many word shards for a number of pair shards, as a power of it.
 WORD_POWER = 0.6
+#: Partitions for each shard, so that hardly any task gets several.
+SPREAD = 2
 #: Files that a worker keeps mapped at a time.
 MAPPED_FILES = 2048
 CACHE_WORDS = 150_000
@@ -94,62 +93,24 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[begin], *(np.add.reduceat(v[order], begin) if len(keys) else v for v in values))
 
 
-class Folder:
-    """A folder that driver and workers share, local (mapped in place) or in any store pyarrow knows."""
-
-    def __init__(self, uri: str):
-        self.uri = uri
-
-    def _open(self) -> tuple[pafs.FileSystem, str]:
-        if self.uri.startswith("file:") or "://" not in self.uri:
-            return pafs.LocalFileSystem(), "/" + self.uri.removeprefix("file:").lstrip("/")
-        return pafs.FileSystem.from_uri(self.uri)
-
-    def write(self, name: str, arrays: list[np.ndarray]) -> None:
-        """All arrays one after the other; a file appears whole or not at all, also if tasks repeat."""
-        fs, base = self._open()
-        fs.create_dir(base, recursive=True)
-        part = f"{base}/_{name}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(part, compression=None) as f:
-            for a in arrays:
-                f.write(np.ascontiguousarray(a).data)
-        fs.move(part, f"{base}/{name}")
-
-    def map(self, name: str, kinds: list[str], cache: dict) -> list[np.ndarray]:
-        """The file's arrays, mapped; a file of a remote store is first copied to this process's folder."""
-        fs, base = self._open()
-        path = f"{base}/{name}"
-        if not isinstance(fs, pafs.LocalFileSystem):
-            if "dir" not in cache:
-                cache["dir"] = tempfile.TemporaryDirectory(prefix="onoma-model-")
-            local = os.path.join(cache["dir"].name, name)
-            if not os.path.exists(local):
-                with fs.open_input_stream(path, compression=None) as f, open(local, "wb") as out:
-                    while piece := f.read(1 << 22):
-                        out.write(piece)
-            path = local
-        width = sum(np.dtype(k).itemsize for k in kinds)
-        n = os.path.getsize(path) // width
-        if not n:
-            return [np.zeros(0, k) for k in kinds]
-        whole = np.memmap(path, np.uint8, "r")
-        out, at = [], 0
-        for k in kinds:
-            size = n * np.dtype(k).itemsize
-            out.append(whole[at : at + size].view(k))
-            at += size
-        return out
+#: Arrays of the files: pairs with counts up to MANY; pairs that are counted so often or more; words.
+PAIR_KINDS, MORE_KINDS, WORD_KINDS = ["<u8", "u1"], ["<u8", "<u8"], ["<u8"] * 6
+MANY = 255
+
 
-    def remove(self) -> None:
-        fs, base = self._open()
-        try:
-            fs.delete_dir(base)
-        except OSError:
-            pass
+def _stored(folder: Folder, name: str, kinds: list[str], arrays: list[np.ndarray]) -> None:
+    folder.put(name, [np.ascontiguousarray(a, k).data for k, a in zip(kinds, arrays, strict=True)])
 
 
-PAIR_KINDS = ["<u8", "<u4"]
-WORD_KINDS = ["<u8", "<u8", "<u4", "<u4", "<u4", "<u4"]
+def _mapped(folder: Folder, name: str, kinds: list[str], cache: dict) -> list[np.ndarray]:
+    whole = folder.map(name, cache)
+    n = len(whole) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        size = n * np.dtype(k).itemsize
+        out.append(whole[at : at + size].view(k))
+        at += size
+    return out
 
 
 @dataclass
@@ -179,25 +140,29 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 1e-6), k - 1e-6) for k, d in enumerate(raw, 1))
 
 
+def _pieces(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The values between neighbouring cuts as one binary each, without copying them apart."""
+    offsets = (cuts * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _count_pass(shards: int):
-    def fold(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def fold(parts: list[np.ndarray]) -> pa.RecordBatch:
+        """A row for every shard that gets something: never more rows than pairs, however many shards there are."""
         w = np.concatenate(parts)
         v = contexts(w)
         h, at, c = np.unique(pair_hash(v, w), return_index=True, return_counts=True)
-        v, w, c = v[at], w[at], c.astype(np.uint32)
+        v, w, c, shard = v[at], w[at], c.astype(np.uint32), shard_of(h, shards)
         # words of a context lie together, so a context is sent once with the number of its words
-        cut = _cuts(h, shards)
-        for s in range(shards):
-            a, b = cut[s], cut[s + 1]
-            if a < b:
-                order = np.lexsort((w[a:b], v[a:b]))
-                sv = v[a:b][order]
-                begin = np.flatnonzero(np.concatenate([[True], sv[1:] != sv[:-1]]))
-                runs = np.diff(np.append(begin, len(sv))).astype(np.uint32)
-                row = [sv[begin], runs, w[a:b][order], c[a:b][order]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in row)], ["shard", "v", "runs", "w", "c"]
-                )
+        order = np.lexsort((w, v, shard))
+        v, w, c, shard = v[order], w[order], c[order], shard[order]
+        new_shard = np.concatenate([[True], shard[1:] != shard[:-1]])
+        begin = np.flatnonzero(new_shard | np.concatenate([[True], v[1:] != v[:-1]]))
+        runs = np.diff(np.append(begin, len(v))).astype(np.uint32)
+        first = np.flatnonzero(new_shard)
+        cuts, run_cuts = np.append(first, len(v)), np.append(np.searchsorted(begin, first), len(begin))
+        columns = [pa.array(shard[first], pa.int64()), _pieces(run_cuts, v[begin]), _pieces(run_cuts, runs), _pieces(cuts, w), _pieces(cuts, c)]
+        return pa.RecordBatch.from_arrays(columns, ["shard", "v", "runs", "w", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
@@ -206,10 +171,10 @@ def _count_pass(shards: int):
                 parts.append(tokens(t.as_py()))
                 n += len(parts[-1])
                 if n >= FOLD_TOKENS:
-                    yield from fold(parts)
+                    yield fold(parts)
                     parts, n = [], 0
         if parts:
-            yield from fold(parts)
+            yield fold(parts)
 
     return run
 
@@ -231,29 +196,27 @@ def _merge_pairs(folder: Folder, word_shards: int):
         h, v, w, c = h[order], v[order], w[order], c[order]
         begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         h, v, w, c = h[begin], v[begin], w[begin], np.add.reduceat(c, begin)
-        folder.write(f"pairs-{shard:06d}", [h, np.minimum(c, 2**32 - 1).astype(np.uint32)])
+        _stored(folder, f"pairs-{shard:06d}", PAIR_KINDS, [h, np.minimum(c, MANY)])
+        _stored(folder, f"more-{shard:06d}", MORE_KINDS, [h[c >= MANY], c[c >= MANY]])
         seen = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [len(c)]
         one = np.ones(len(c), np.int64)
         kw, count, kinds = _sum_by(w, c, one)
         kv, n1, n2, n3 = _sum_by(v, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
-        rows = []
         wcut, vcut = _cuts(kw, word_shards), _cuts(kv, word_shards)
-        for s in range(word_shards):
-            a, b, x, y = wcut[s], wcut[s + 1], vcut[s], vcut[s + 1]
-            told = seen if s == 0 else [0] * 5
-            if a < b or x < y or s == 0:
-                arrays = [kw[a:b], count[a:b].astype(np.uint64), kinds[a:b].astype(np.uint32), kv[x:y]]
-                arrays += [n[x:y].astype(np.uint32) for n in (n1, n2, n3)]
-                rows.append([s, *told, *(z.tobytes() for z in arrays)])
-        return pa.table({f.name: pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SHARES)}, schema=_SHARES)
+        used = np.flatnonzero((np.diff(wcut) > 0) | (np.diff(vcut) > 0))  # a context is some word's: none of both are empty
+        wcut, vcut = np.append(wcut[used], wcut[-1]), np.append(vcut[used], vcut[-1])
+        told = [pa.array([x, *[0] * (len(used) - 1)], pa.int64()) for x in seen]
+        arrays = [_pieces(wcut, x) for x in (kw, count.astype(np.uint64), kinds.astype(np.uint32))]
+        arrays += [_pieces(vcut, x) for x in (kv, *(n.astype(np.uint32) for n in (n1, n2, n3)))]
+        return pa.table([pa.array(used, pa.int64()), *told, *arrays], schema=_SHARES)
 
     return run
 
 
 _SHARES = pa.schema(
-    [("shard", pa.int32()), *((f"s{k}", pa.int64()) for k in range(5)), *((n, pa.binary()) for n in ("w", "count", "kinds", "v", "n1", "n2", "n3"))]
+    [("shard", pa.int64()), *((f"s{k}", pa.int64()) for k in range(5)), *((n, pa.binary()) for n in ("w", "count", "kinds", "v", "n1", "n2", "n3"))]
 )
-_SHARES_DDL = "shard int, " + ", ".join(f"s{k} long" for k in range(5)) + ", w binary, count binary, kinds binary, v binary, n1 binary, n2 binary, n3 binary"
+_SHARES_DDL = "shard long, " + ", ".join(f"s{k} long" for k in range(5)) + ", w binary, count binary, kinds binary, v binary, n1 binary, n2 binary, n3 binary"
 _SUMS = [f"s{k}" for k in range(5)] + ["k1", "k2", "k3", "k4", "more", "n_tokens", "n_words"]
 
 
@@ -267,7 +230,7 @@ def _merge_words(folder: Folder):
         key, count, kinds, n1, n2, n3 = _sum_by(
             np.concatenate([w, v]), *(np.concatenate([x, zv]) for x in own), *(np.concatenate([zw, x]) for x in after)
         )
-        folder.write(f"words-{shard:06d}", [key, count.astype(np.uint64), *(x.astype(np.uint32) for x in (kinds, n1, n2, n3))])
+        _stored(folder, f"words-{shard:06d}", WORD_KINDS, [key, count, kinds, n1, n2, n3])
         sums = [int(sum(table.column(f"s{k}").to_pylist())) for k in range(5)]
         sums += [int((kinds == k).sum()) for k in (1, 2, 3, 4)] + [int((kinds > 2).sum()), int(count.sum()), int((count > 0).sum())]
         return pa.table({n: pa.array([x], pa.int64()) for n, x in zip(_SUMS, sums, strict=True)})
@@ -282,13 +245,15 @@ def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     stand there. Without rows the model knows nothing and gives every token probability 1.
     """
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = Folder(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ngrams-{uuid.uuid4().hex}")
+    folder = Folder(shared_folder(spark, "ngrams"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     word_shards = int(np.ceil(shards**WORD_POWER))
-    pairs = docs.select("text").mapInArrow(_count_pass(shards), "shard int, v binary, runs binary, w binary, c binary")
-    shares = pairs.groupBy("shard").applyInArrow(_merge_pairs(folder, word_shards), _SHARES_DDL)
+    pairs = docs.select("text").mapInArrow(_count_pass(shards), "shard long, v binary, runs binary, w binary, c binary")
+    # partitions grow with the shards, so that a task has few of them whatever the session's number is
+    dealt = pairs.repartition(max(shuffle_partitions(spark), SPREAD * shards), "shard")
+    shares = dealt.groupBy("shard").applyInArrow(_merge_pairs(folder, word_shards), _SHARES_DDL)
+    shares = shares.repartition(max(shuffle_partitions(spark), SPREAD * word_shards), "shard")
     found = shares.groupBy("shard").applyInArrow(_merge_words(folder), ", ".join(f"{n} long" for n in _SUMS))
     s = {n: x or 0 for n, x in found.agg(*[F.sum(n).alias(n) for n in _SUMS]).first().asDict().items()}
     atexit.register(folder.remove)
@@ -310,7 +275,7 @@ class _Tables:
             if len(self.open) >= MAPPED_FILES:
                 del self.open[next(iter(self.open))]
             try:
-                self.open[shard] = self.folder.map(f"{self.kind}-{shard:06d}", self.kinds, self.cache)
+                self.open[shard] = _mapped(self.folder, f"{self.kind}-{shard:06d}", self.kinds, self.cache)
             except FileNotFoundError:  # a shard that got nothing
                 self.open[shard] = [np.zeros(0, k) for k in self.kinds]
         return self.open[shard]
@@ -339,6 +304,7 @@ class Scorer:
         self.m = model
         some, cache = bool(model.n_tokens), {}
         self.pairs = _Tables(model.folder, "pairs", model.shards * some, PAIR_KINDS, cache)
+        self.more = _Tables(model.folder, "more", model.shards * some, MORE_KINDS, cache)
         self.words = _Tables(model.folder, "words", model.word_shards * some, WORD_KINDS, cache)
         d, once = model.word_discounts, model.word_once
         self.spare = sum(a * b for a, b in zip(d, once, strict=True)) / model.n_pairs if model.n_pairs else 1.0
@@ -371,6 +337,8 @@ class Scorer:
         spare = np.where(total > 0, (e1 * n1 + e2 * n2 + e3 * n3) / np.maximum(total, 1), 1.0)
         pair, back = np.unique(pair_hash(v, w), return_inverse=True)
         (c,) = self.pairs.find(pair)
+        often = np.flatnonzero(c == MANY)
+        (c[often],) = self.more.find(pair[often])
         c = (c - np.select([c >= 3, c == 2, c == 1], [e3, e2, e1], 0.0))[back]
         p = c / np.maximum(total[of_context], 1) + spare[of_context] * lower[of_word]
         base = np.log10((count + 1) / (m.n_tokens + 1 * (m.n_words + 1)))[of_word]
