@@ -1,36 +1,45 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, stored as sorted hash arrays.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark, stored as sorted hash arrays.
 
-Counting: every task folds its tokens' (context, word) pairs before it sends them, dealt out by the
-pair's hash, so neither a frequent word nor a frequent context fills one task. A pair shard merges
-what it gets into an array sorted by hash, writes it to the shared folder and passes on what words
-need: a word's count and number of different contexts, a context's numbers of followers seen once,
-twice and more often. Word shards do the same with those. Only sums of sums reach the driver.
+Counting takes one pass over the texts for the words and one for every order above. Words get numbers:
+a word's place among the sorted hashes of all. Every task folds its tokens' n-grams before it sends
+them, so that frequent ones are one row each. Trigrams are dealt out by their context and bigrams by
+themselves, so that a shard has all that their counts and discounts need. Where both words of a context
+or bigram are so frequent that it might fill a shard (``hot``), its trigrams are dealt out one by one, and
+what the shards know of it is added up afterwards.
+
+A shard merges what it gets into an array sorted by hash in the shared folder. Only sums of sums reach
+the driver. Below the highest order a count is the number of different words before the n-gram; n-grams
+at the beginning of a text, which have none, keep their plain count.
 
 Scoring: workers map the arrays of the shared folder into memory and look up the sorted distinct
-pairs of a block of documents, shard by shard; no text and no model moves through a shuffle.
+n-grams of a block of documents, shard by shard; no text and no model moves through a shuffle.
 """
 
 from __future__ import annotations
 
 import atexit
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from onoma.llm.common import crc_mod, read_table, shared_folder, shuffle_partitions
+from onoma.llm.common import SHUFFLE_CLEANUP, crc_mod, read_table, session_conf, shared_folder, shuffle_partitions
 from onoma.llm.folder import Folder
 
+ORDER = 3
 #: Tokens that a task folds before it sends them, and tokens that are looked up at a time.
 FOLD_TOKENS = 3_000_000
 BLOCK_TOKENS = 1_000_000
 #: Bytes of training text for one shard.
-SHARD_BYTES = 32 << 20
-#: Words grow slower than pairs: so many word shards for a number of pair shards, as a power of it.
+SHARD_BYTES = 24 << 20
+#: Words grow slower than n-grams: so many word shards for a number of shards, as a power of it.
 WORD_POWER = 0.6
+#: Two words next to each other are hot if both are counted more often than this.
+HOT = 500_000
 #: Partitions for each shard, so that hardly any task gets several.
 SPREAD = 2
 #: Files that a worker keeps mapped at a time.
@@ -38,7 +47,9 @@ MAPPED_FILES = 2048
 CACHE_WORDS = 150_000
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(32)
 
 
 class _WordHashes(dict):
@@ -63,27 +74,25 @@ def tokens(text: str | None) -> np.ndarray:
     return out
 
 
-def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    x = (context ^ (context >> np.uint64(29))) * _M1 + word
-    x = (x ^ (x >> np.uint64(32))) * _M2
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Scatter 64 bits; different numbers stay different."""
+    x = (x ^ (x >> np.uint64(29))) * _M1
+    x = (x ^ (x >> _HALF)) * _M2
     return x ^ (x >> np.uint64(31))
 
 
-def contexts(words: np.ndarray) -> np.ndarray:
-    """What comes before every token of the given texts, each of which ends with END."""
-    out = np.empty_like(words)
-    out[0:1] = START
-    out[1:] = np.where(words[:-1] == END, START, words[:-1])
-    return out
+def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two word numbers as one 64-bit number."""
+    return a.astype(np.uint64) << _HALF | b.astype(np.uint64)
 
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of the hash, so sorted hashes are sorted by shard."""
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def triple_key(context_key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mix(context_key + (word.astype(np.uint64) + np.uint64(1)) * _M3)
 
 
-def _cuts(sorted_hashes: np.ndarray, shards: int) -> np.ndarray:
-    return np.searchsorted(shard_of(sorted_hashes, shards), np.arange(shards + 1))
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the hash, so sorted hashes are sorted by shard."""
+    return ((h >> _HALF) * np.uint64(shards) >> _HALF).astype(np.int64)
 
 
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -93,51 +102,192 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[begin], *(np.add.reduceat(v[order], begin) if len(keys) else v for v in values))
 
 
-#: Arrays of the files: pairs with counts up to MANY; pairs that are counted so often or more; words.
-PAIR_KINDS, MORE_KINDS, WORD_KINDS = ["<u8", "u1"], ["<u8", "<u8"], ["<u8"] * 6
-MANY = 255
+# ---- files ----
 
 
-def _stored(folder: Folder, name: str, kinds: list[str], arrays: list[np.ndarray]) -> None:
-    folder.put(name, [np.ascontiguousarray(a, k).data for k, a in zip(kinds, arrays, strict=True)])
+def packed(keys: np.ndarray, columns: list[np.ndarray]) -> list[bytes]:
+    """A sorted hash array as bytes: 48 bits of every key, 16 of them as an index, and its counts.
 
+    A count takes one byte; those of 255 or more stand apart with their places.
+    """
+    k = keys & np.uint64((1 << 48) - 1)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    index = np.searchsorted(k >> _HALF, np.arange((1 << 16) + 1, dtype=np.uint64)).astype("<u4")
+    body, often = [(k & _LOW).astype("<u4")], []
+    for c in columns:
+        c = c[order].astype(np.int64)
+        body.append(np.minimum(c, 255).astype("u1"))
+        at = np.flatnonzero(c >= 255)
+        often.append((at.astype("<u4"), c[at].astype("<i8")))
+    head = np.array([len(k), len(columns), *(len(at) for at, _ in often)], "<i8")
+    return [x.tobytes() for x in (head, index, *body, *(y for pair in often for y in pair))]
+
+
+class Packed:
+    """A mapped ``packed`` array."""
+
+    def __init__(self, raw: np.ndarray):
+        take = self._taker(raw)
+        self.n, columns = take("<i8", 2).tolist()
+        often = take("<i8", columns).tolist()
+        self.index = take("<u4", (1 << 16) + 1)
+        self.rest = take("<u4", self.n)
+        self.columns = [take("u1", self.n) for _ in range(columns)]
+        self.often = [(take("<u4", m), take("<i8", m)) for m in often]
+
+    @staticmethod
+    def _taker(raw: np.ndarray):
+        at = 0
+
+        def take(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            size = n * np.dtype(kind).itemsize
+            part, at = raw[at : at + size], at + size
+            return np.frombuffer(part, kind)
+
+        return take
 
-def _mapped(folder: Folder, name: str, kinds: list[str], cache: dict) -> list[np.ndarray]:
-    whole = folder.map(name, cache)
-    n = len(whole) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        size = n * np.dtype(k).itemsize
-        out.append(whole[at : at + size].view(k))
-        at += size
-    return out
+    def find(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The counts of the keys, 0 where a key is missing: a binary search inside the 16-bit index."""
+        k = keys & np.uint64((1 << 48) - 1)
+        top, rest = (k >> _HALF).astype(np.int64), (k & _LOW).astype(np.uint32)
+        low, high = self.index[top].astype(np.int64), self.index[top + 1].astype(np.int64)
+        end = high.copy()
+        while (open_ := low < high).any():
+            mid = (low + high) >> 1
+            less = open_ & (self.rest[np.minimum(mid, self.n - 1)] < rest)
+            low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+        hit = low < end
+        hit[hit] = self.rest[low[hit]] == rest[hit]
+        out = []
+        for c, (at, value) in zip(self.columns, self.often, strict=True):
+            x = np.zeros(len(keys), np.int64)
+            x[hit] = c[low[hit]]
+            many = np.flatnonzero(x == 255)
+            x[many] = value[np.searchsorted(at, low[many])]
+            out.append(x)
+        return out
+
+
+class _Files:
+    """The files of one kind, opened when first asked for; the oldest mappings go first."""
+
+    def __init__(self, folder: Folder, kind: str, cache: dict, opened):
+        self.folder, self.kind, self.cache, self.opened = folder, kind, cache, opened
+        self.open: dict[int, object] = {}
+
+    def __getitem__(self, shard: int):
+        """The file's arrays, None for a shard that got nothing."""
+        if shard not in self.open:
+            if len(self.open) >= MAPPED_FILES:
+                del self.open[next(iter(self.open))]
+            try:
+                self.open[shard] = self.opened(self.folder.map(f"{self.kind}-{shard:07d}", self.cache))
+            except FileNotFoundError:
+                self.open[shard] = None
+        return self.open[shard]
+
+    def find(self, keys: np.ndarray, shard: np.ndarray, columns: int) -> list[np.ndarray]:
+        """The counts of keys that lie in the given shards; 0 where a key is missing."""
+        out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
+        if not len(keys):
+            return out
+        order = np.argsort(shard, kind="stable")
+        own, begin = np.unique(shard[order], return_index=True)
+        for s, a, b in zip(own.tolist(), begin, [*begin[1:], len(keys)], strict=True):
+            if (table := self[s]) is not None and table.n:
+                at = order[a:b]
+                for o, x in zip(out, table.find(keys[at]), strict=True):
+                    o[at] = x
+        return out
+
+
+def _rows_of(kinds: list[str]):
+    def opened(raw: np.ndarray) -> list[np.ndarray]:
+        n, out, at = len(raw) // sum(np.dtype(k).itemsize for k in kinds), [], 0
+        for k in kinds:
+            size = n * np.dtype(k).itemsize
+            out.append(np.frombuffer(raw[at : at + size], k))
+            at += size
+        return out
+
+    return opened
+
+
+#: The files of words: hash and count of every word; then what follows and precedes it.
+VOCABULARY, AROUND = ["<u8", "<i8"], ["<i8"] * 5
 
 
 @dataclass
-class Model:
-    """Where the arrays are, and the sums that turn their counts into probabilities."""
+class Layout:
+    """Where the arrays are and how they are dealt out. offsets: the first word number of every word shard."""
 
     folder: Folder
+    order: int
     shards: int
     word_shards: int
-    n_tokens: int
-    n_words: int
-    n_pairs: int
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
-    word_once: tuple[int, int, int]
+    hot: int
+    offsets: list[int] = field(default_factory=list)
+
+
+class Words:
+    """The words' numbers and counts, by hash or by number."""
+
+    def __init__(self, layout: Layout, cache: dict):
+        self.shards, self.offsets = layout.word_shards, np.array(layout.offsets, np.int64)
+        self.files = _Files(layout.folder, "vocabulary", cache, _rows_of(VOCABULARY))
+        self.around_files = _Files(layout.folder, "around", cache, _rows_of(AROUND))
+        self.hot_from = layout.hot
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (-1: unknown) and counts of sorted different hashes."""
+        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        cut = np.searchsorted(shard_of(h, self.shards), np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            a, b = cut[s], cut[s + 1]
+            have, count = self.files[s] or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if len(have):
+                at = np.minimum(np.searchsorted(have, h[a:b]), len(have) - 1)
+                hit = have[at] == h[a:b]
+                ids[a:b] = np.where(hit, self.offsets[s] + at, -1)
+                counts[a:b] = np.where(hit, count[at], 0)
+        return ids, counts
+
+    def _by_number(self, files: _Files, ids: np.ndarray, columns: int, first: int) -> list[np.ndarray]:
+        out = [np.zeros(len(ids), np.int64) for _ in range(columns)]
+        shard = np.searchsorted(self.offsets, ids, "right") - 1
+        for s in np.unique(shard[ids >= 0]).tolist():
+            at = np.flatnonzero((shard == s) & (ids >= 0))
+            rows = files[s]
+            if rows is not None:
+                for o, x in zip(out, rows[first:], strict=True):
+                    o[at] = x[ids[at] - self.offsets[s]]
+        return out
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        return self._by_number(self.files, ids, 1, 1)[0]
 
-def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts from the numbers of things counted 1, 2, 3 and 4 times.
+    def around(self, ids: np.ndarray) -> list[np.ndarray]:
+        """Different words before; sum of the counts after; words after that are counted once, twice, more often."""
+        return self._by_number(self.around_files, ids, 5, 0)
 
-    Where a number they divide by is missing (small corpora), 3/4 stands in; never more than the count.
-    """
-    if not n1 or not n2:
-        return (0.75, 0.75, 0.75)
-    y = n1 / (n1 + 2 * n2)
-    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.75)
-    return tuple(min(max(d, 1e-6), k - 1e-6) for k, d in enumerate(raw, 1))
+    def hot(self, pairs: np.ndarray) -> np.ndarray:
+        words = np.unique(np.concatenate([pairs >> _HALF, pairs & _LOW])).astype(np.int64)
+        often = words[self.counts(words) > self.hot_from].astype(np.uint64)
+        return np.isin(pairs >> _HALF, often) & np.isin(pairs & _LOW, often)
+
+    def ends(self) -> tuple[int, int]:
+        ids, _ = self.find(np.array([START, END], np.uint64))
+        return int(ids[0]), int(ids[1])
+
+
+# ---- messages: word numbers and counts, a byte of them at a time so that they compress ----
+
+_FIELDS = [f"{x}{k}" for x in "abcd" for k in range(4)]
+_MESSAGE = "shard long, kind int, " + ", ".join(f"{f} binary" for f in _FIELDS)
+#: Kinds of rows: trigrams; values of bigrams; two rows with what follows a hot context.
+GRAMS, VALUES, AFTER, AFTER_TOO = range(4)
 
 
 def _pieces(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -146,169 +296,339 @@ def _pieces(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _count_pass(shards: int):
-    def fold(parts: list[np.ndarray]) -> pa.RecordBatch:
-        """A row for every shard that gets something: never more rows than pairs, however many shards there are."""
-        w = np.concatenate(parts)
-        v = contexts(w)
-        h, at, c = np.unique(pair_hash(v, w), return_index=True, return_counts=True)
-        v, w, c, shard = v[at], w[at], c.astype(np.uint32), shard_of(h, shards)
-        # words of a context lie together, so a context is sent once with the number of its words
-        order = np.lexsort((w, v, shard))
-        v, w, c, shard = v[order], w[order], c[order], shard[order]
-        new_shard = np.concatenate([[True], shard[1:] != shard[:-1]])
-        begin = np.flatnonzero(new_shard | np.concatenate([[True], v[1:] != v[:-1]]))
-        runs = np.diff(np.append(begin, len(v))).astype(np.uint32)
-        first = np.flatnonzero(new_shard)
-        cuts, run_cuts = np.append(first, len(v)), np.append(np.searchsorted(begin, first), len(begin))
-        columns = [pa.array(shard[first], pa.int64()), _pieces(run_cuts, v[begin]), _pieces(run_cuts, runs), _pieces(cuts, w), _pieces(cuts, c)]
-        return pa.RecordBatch.from_arrays(columns, ["shard", "v", "runs", "w", "c"])
+def _message(shard: np.ndarray, kind: int, *fields: np.ndarray) -> pa.RecordBatch:
+    """A row for every shard that gets something: never more rows than n-grams, however many shards there are."""
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, int)
+    cuts = np.append(first, len(shard))
+    columns = [pa.array(shard[first], pa.int64()), pa.array(np.full(len(first), kind), pa.int32())]
+    for k in range(4):
+        if k < len(fields):
+            planes = fields[k][order].astype("<u4").view("u1").reshape(-1, 4)
+            columns += [_pieces(cuts, planes[:, p]) for p in range(4)]
+        else:
+            columns += [_pieces(np.zeros(len(cuts), np.int64), np.zeros(0, "u1"))] * 4
+    return pa.RecordBatch.from_arrays(columns, ["shard", "kind", *_FIELDS])
+
+
+def _blobs(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
+
 
+def _fields(table: pa.Table, kind: int, names: str) -> list[np.ndarray]:
+    """The fields of the rows of one kind, as 64-bit numbers."""
+    rows = table.filter(pc.equal(table.column("kind"), kind))
+    return [sum(_blobs(rows, f"{x}{p}", "u1").astype(np.uint64) << np.uint64(8 * p) for p in range(4)) for x in names]
+
+
+# ---- counting ----
+
+
+def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Token hashes of about FOLD_TOKENS tokens, whole texts."""
+    parts, n = [], 0
+    for b in batches:
+        for t in b.column(0):
+            parts.append(tokens(t.as_py()))
+            n += len(parts[-1])
+            if n >= FOLD_TOKENS:
+                yield np.concatenate(parts)
+                parts, n = [], 0
+    if parts:
+        yield np.concatenate(parts)
+
+
+def _word_pass(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
-        for b in batches:
-            for t in b.column(0):
-                parts.append(tokens(t.as_py()))
-                n += len(parts[-1])
-                if n >= FOLD_TOKENS:
-                    yield fold(parts)
-                    parts, n = [], 0
-        if parts:
-            yield fold(parts)
+        for w in _folds(batches):
+            h, c = np.unique(np.append(w, START), return_counts=True)
+            c[h == START] = 0
+            shard = shard_of(h, shards)
+            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            cuts = np.append(first, len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(shard[first], pa.int64()), _pieces(cuts, h), _pieces(cuts, c.astype("<i8"))], ["shard", "h", "c"])
 
     return run
 
 
-def _blobs(table: pa.Table, name: str, kind) -> np.ndarray:
-    found = [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-    return np.concatenate(found) if found else np.zeros(0, kind)
+def _merge_vocabulary(folder: Folder):
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        h, c = _sum_by(_blobs(table, "h", np.uint64), _blobs(table, "c", np.int64))
+        folder.put(f"vocabulary-{shard:07d}", [h.astype("<u8").tobytes(), c.astype("<i8").tobytes()])
+        sums = [shard, len(h), int(c.sum()), int((c > 0).sum())]
+        return pa.table({k: pa.array([x], pa.int64()) for k, x in zip(("shard", "n", "n_tokens", "n_words"), sums, strict=True)})
+
+    return run
 
 
-def _merge_pairs(folder: Folder, word_shards: int):
-    """A shard's pairs to one sorted array in the folder; on go the words' and contexts' shares."""
+def _numbered(w: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of the tokens, of the words before them, and of those before these (-1: none or unknown).
 
+    Before a text stands one START, before which there is nothing.
+    """
+    uniq, inverse = np.unique(w, return_inverse=True)
+    ids, _ = words.find(uniq)
+    start, _ = words.ends()
+    w_ids = ids[inverse]
+    before = np.concatenate([[start], np.where(w[:-1] == END, start, w_ids[:-1])])
+    second = np.concatenate([[-1], before[:-1]])
+    second[before == start] = -1
+    return w_ids, before, second
+
+
+def _counted(pair: np.ndarray, word: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different (pair, word) in order: the pairs, and for each of the rows its pair's place, its word and its count."""
+    pairs, at = np.unique(pair, return_inverse=True)
+    key = at.astype(np.uint64) << _HALF | word.astype(np.uint64)
+    if count is None:
+        key, n = np.unique(key, return_counts=True)
+    else:
+        key, n = _sum_by(key, count.astype(np.int64))
+    return pairs, (key >> _HALF).astype(np.int64), key & _LOW, n.astype(np.int64)
+
+
+def _gram_pass(layout: Layout, level: int):
+    """Level 3: counted trigrams. Level 2: what bigrams' counts are made of."""
+    state: list[Words] = []
+
+    def fold(w: np.ndarray, words: Words) -> Iterator[pa.RecordBatch]:
+        w, v, u = _numbered(w, words)
+        if level == 2 and layout.order == 2:
+            pairs, n = np.unique(pair_of(v, w), return_counts=True)
+            yield _message(shard_of(_mix(pairs), layout.shards), VALUES, pairs >> _HALF, pairs & _LOW, n)
+            return
+        inner = u >= 0
+        pairs, at, last, n = _counted(pair_of(u[inner], v[inner]), w[inner])
+        if level == 3:
+            key = _mix(pairs)
+            shard = np.where(words.hot(pairs)[at], shard_of(triple_key(key[at], last), layout.shards), shard_of(key, layout.shards)[at])
+            yield _message(shard, GRAMS, (pairs >> _HALF)[at], (pairs & _LOW)[at], last, n)
+            return
+        middle = (pairs & _LOW)[at]
+        bigrams, of = np.unique(pair_of(middle, last), return_inverse=True)
+        cold = ~words.hot(bigrams)[of]
+        shard = shard_of(_mix(bigrams), layout.shards)[of]
+        yield _message(shard[cold], GRAMS, (pairs >> _HALF)[at][cold], middle[cold], last[cold])
+        pairs, n = np.unique(pair_of(v[~inner], w[~inner]), return_counts=True)
+        yield _message(shard_of(_mix(pairs), layout.shards), VALUES, pairs >> _HALF, pairs & _LOW, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not state:
+            state.append(Words(layout, {}))
+        for w in _folds(batches):
+            yield from fold(w, state[0])
+
+    return run
+
+
+def _after(at: np.ndarray, n: np.ndarray, contexts: int) -> list[np.ndarray]:
+    """For every context: the sum of the counts after it, and how many are 1, 2 and more."""
+    parts = [np.bincount(at, n, contexts), *(np.bincount(at[x], minlength=contexts) for x in (n == 1, n == 2, n > 2))]
+    return [p.astype(np.int64) for p in parts]
+
+
+def _seen(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]
+
+
+_SUMS = [f"s{k}" for k in range(5)]
+_PARTIAL = _MESSAGE + ", " + ", ".join(f"{s} long" for s in _SUMS)
+
+
+def _merge_trigrams(layout: Layout):
+    """A shard's trigrams and cold contexts to the folder; on goes what it knows of hot contexts and bigrams."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words, shard = Words(layout, {}), table.column("shard")[0].as_py()
+        u, v, w, n = _fields(table, GRAMS, "abcd")
+        pairs, at, last, n = _counted(pair_of(u, v), w, n)
+        key = _mix(pairs)
+        layout.folder.put(f"trigrams-{shard:07d}", packed(triple_key(key[at], last), [n]))
+        after, hot = _after(at, n, len(pairs)), words.hot(pairs)
+        layout.folder.put(f"after-{shard:07d}", packed(key[~hot], [x[~hot] for x in after]))
+        a, b = pairs[hot] >> _HALF, pairs[hot] & _LOW
+        to, values = shard_of(key[hot], layout.shards), [x[hot] for x in after]
+        bigrams, before = np.unique(pair_of((pairs & _LOW)[at], last), return_counts=True)
+        both = words.hot(bigrams)
+        bigrams, before = bigrams[both], before[both]
+        rows = [
+            _message(to, AFTER, a, b, *values[:2]), _message(to, AFTER_TOO, a, b, *values[2:]),
+            _message(shard_of(_mix(bigrams), layout.shards), VALUES, bigrams >> _HALF, bigrams & _LOW, before),
+        ]
+        told = pa.Table.from_batches([_message(np.array([-1]), -1, np.array([0])), *rows])
+        for k, s in zip(_SUMS, _seen(n), strict=True):
+            told = told.append_column(k, pa.array([s, *[0] * (len(told) - 1)], pa.int64()))
+        return told
+
+    return run
+
+
+def _merge_hot(layout: Layout):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        v = np.repeat(_blobs(table, "v", np.uint64), _blobs(table, "runs", np.uint32))
-        w, c = _blobs(table, "w", np.uint64), _blobs(table, "c", np.uint32).astype(np.int64)
-        h = pair_hash(v, w)
-        order = np.argsort(h, kind="stable")
-        h, v, w, c = h[order], v[order], w[order], c[order]
-        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        h, v, w, c = h[begin], v[begin], w[begin], np.add.reduceat(c, begin)
-        _stored(folder, f"pairs-{shard:06d}", PAIR_KINDS, [h, np.minimum(c, MANY)])
-        _stored(folder, f"more-{shard:06d}", MORE_KINDS, [h[c >= MANY], c[c >= MANY]])
-        seen = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [len(c)]
-        one = np.ones(len(c), np.int64)
-        kw, count, kinds = _sum_by(w, c, one)
-        kv, n1, n2, n3 = _sum_by(v, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
-        wcut, vcut = _cuts(kw, word_shards), _cuts(kv, word_shards)
-        used = np.flatnonzero((np.diff(wcut) > 0) | (np.diff(vcut) > 0))  # a context is some word's: none of both are empty
-        wcut, vcut = np.append(wcut[used], wcut[-1]), np.append(vcut[used], vcut[-1])
-        told = [pa.array([x, *[0] * (len(used) - 1)], pa.int64()) for x in seen]
-        arrays = [_pieces(wcut, x) for x in (kw, count.astype(np.uint64), kinds.astype(np.uint32))]
-        arrays += [_pieces(vcut, x) for x in (kv, *(n.astype(np.uint32) for n in (n1, n2, n3)))]
+        a, b, *first = _fields(table, AFTER, "abcd")
+        c, d, *second = _fields(table, AFTER_TOO, "abcd")
+        pairs, *values = _sum_by(np.concatenate([pair_of(a, b), pair_of(c, d)]), *(np.concatenate([x, np.zeros(len(c), np.uint64)]) for x in first), *(np.concatenate([np.zeros(len(a), np.uint64), x]) for x in second))
+        layout.folder.put(f"hot-{shard:07d}", packed(_mix(pairs), values))
+        return pa.table({"n": pa.array([len(pairs)], pa.int64())})
+
+    return run
+
+
+_AROUND = ("w", "before", "v", "total", "n1", "n2", "n3")
+_SHARES = pa.schema([("shard", pa.int64()), *((s, pa.int64()) for s in _SUMS), *((n, pa.binary()) for n in _AROUND)])
+_SHARES_DDL = "shard long, " + ", ".join(f"{s} long" for s in _SUMS) + ", " + ", ".join(f"{n} binary" for n in _AROUND)
+
+
+def _merge_bigrams(layout: Layout):
+    """A shard's bigrams to the folder; on go the words' shares."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        u, v, w = _fields(table, GRAMS, "abc")
+        pairs, at, _, _ = _counted(pair_of(v, w), u)
+        a, b, n = _fields(table, VALUES, "abc")
+        pairs, n = _sum_by(np.concatenate([pairs, pair_of(a, b)]), np.concatenate([np.bincount(at, minlength=len(pairs)), n.astype(np.int64)]))
+        layout.folder.put(f"bigrams-{shard:07d}", packed(_mix(pairs), [n]))
+        firsts, of = np.unique(pairs >> _HALF, return_inverse=True)
+        seconds, before = np.unique(pairs & _LOW, return_counts=True)
+        after = _after(of, n, len(firsts))
+        offsets = np.array(layout.offsets, np.uint64)
+        cuts = lambda ids: np.append(np.searchsorted(ids, offsets), len(ids))
+        wcut, vcut = cuts(seconds), cuts(firsts)
+        used = np.flatnonzero((np.diff(wcut) > 0) | (np.diff(vcut) > 0))
+        wcut, vcut = np.append(wcut[used], len(seconds)), np.append(vcut[used], len(firsts))
+        told = [pa.array([x, *[0] * (len(used) - 1)], pa.int64()) for x in _seen(n)]
+        arrays = [_pieces(wcut, x.astype("<i8")) for x in (seconds, before)] + [_pieces(vcut, x.astype("<i8")) for x in (firsts, *after)]
         return pa.table([pa.array(used, pa.int64()), *told, *arrays], schema=_SHARES)
 
     return run
 
 
-_SHARES = pa.schema(
-    [("shard", pa.int64()), *((f"s{k}", pa.int64()) for k in range(5)), *((n, pa.binary()) for n in ("w", "count", "kinds", "v", "n1", "n2", "n3"))]
-)
-_SHARES_DDL = "shard long, " + ", ".join(f"s{k} long" for k in range(5)) + ", w binary, count binary, kinds binary, v binary, n1 binary, n2 binary, n3 binary"
-_SUMS = [f"s{k}" for k in range(5)] + ["k1", "k2", "k3", "k4", "more", "n_tokens", "n_words"]
+_WORD_SUMS = [*_SUMS, "k1", "k2", "k3", "k4", "more"]
 
 
-def _merge_words(folder: Folder):
+def _merge_around(layout: Layout):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        w, v = _blobs(table, "w", np.uint64), _blobs(table, "v", np.uint64)
-        zw, zv = np.zeros(len(w), np.int64), np.zeros(len(v), np.int64)
-        own = [_blobs(table, n, k).astype(np.int64) for n, k in (("count", np.uint64), ("kinds", np.uint32))]
-        after = [_blobs(table, n, np.uint32).astype(np.int64) for n in ("n1", "n2", "n3")]
-        key, count, kinds, n1, n2, n3 = _sum_by(
-            np.concatenate([w, v]), *(np.concatenate([x, zv]) for x in own), *(np.concatenate([zw, x]) for x in after)
-        )
-        _stored(folder, f"words-{shard:06d}", WORD_KINDS, [key, count, kinds, n1, n2, n3])
-        sums = [int(sum(table.column(f"s{k}").to_pylist())) for k in range(5)]
-        sums += [int((kinds == k).sum()) for k in (1, 2, 3, 4)] + [int((kinds > 2).sum()), int(count.sum()), int((count > 0).sum())]
-        return pa.table({n: pa.array([x], pa.int64()) for n, x in zip(_SUMS, sums, strict=True)})
+        low = layout.offsets[shard]
+        size = len(_rows_of(VOCABULARY)(layout.folder.map(f"vocabulary-{shard:07d}", {}))[0])
+        w, before, v, *after = (_blobs(table, n, np.int64) for n in _AROUND)
+        dense = [np.zeros(size, np.int64) for _ in AROUND]
+        np.add.at(dense[0], w - low, before)
+        for d, x in zip(dense[1:], after, strict=True):
+            np.add.at(d, v - low, x)
+        layout.folder.put(f"around-{shard:07d}", [d.astype("<i8").tobytes() for d in dense])
+        sums = [int(sum(table.column(s).to_pylist())) for s in _SUMS]
+        sums += [int((dense[0] == k).sum()) for k in (1, 2, 3, 4)] + [int((dense[0] > 2).sum())]
+        return pa.table({n: pa.array([x], pa.int64()) for n, x in zip(_WORD_SUMS, sums, strict=True)})
 
     return run
 
 
-def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
+Discounts = tuple[float, float, float]
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> Discounts:
+    """Modified Kneser-Ney discounts from the numbers of things counted 1, 2, 3 and 4 times.
+
+    Where a number they divide by is missing (small corpora), 3/4 stands in; never more than the count.
+    """
+    if not n1 or not n2:
+        return (0.75, 0.75, 0.75)
+    y = n1 / (n1 + 2 * n2)
+    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.75)
+    return tuple(min(max(d, 1e-6), k - 1e-6) for k, d in enumerate(raw, 1))
+
+
+@dataclass
+class Model:
+    """The layout of the arrays, and the sums that turn their counts into probabilities."""
+
+    layout: Layout
+    n_tokens: int = 0
+    n_words: int = 0
+    n_pairs: int = 0
+    discounts: dict[int, Discounts] = field(default_factory=dict)
+    #: words that stand after one, two or more different words
+    kinds: tuple[int, int, int] = (0, 0, 0)
+
+
+def train(docs: DataFrame, order: int = ORDER, *, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> Model:
     """Count all texts of ``docs`` and store the model in the shared folder (removed when the driver ends).
 
     Null text is an empty one: it has the end as its only token. Repeated rows count as often as they
     stand there. Without rows the model knows nothing and gives every token probability 1.
     """
+    if order not in (2, 3):
+        raise ValueError("the order must be 2 or 3")
     spark = docs.sparkSession
     folder = Folder(shared_folder(spark, "ngrams"))
+    atexit.register(folder.remove)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    word_shards = int(np.ceil(shards**WORD_POWER))
-    pairs = docs.select("text").mapInArrow(_count_pass(shards), "shard long, v binary, runs binary, w binary, c binary")
-    # partitions grow with the shards, so that a task has few of them whatever the session's number is
-    dealt = pairs.repartition(max(shuffle_partitions(spark), SPREAD * shards), "shard")
-    shares = dealt.groupBy("shard").applyInArrow(_merge_pairs(folder, word_shards), _SHARES_DDL)
-    shares = shares.repartition(max(shuffle_partitions(spark), SPREAD * word_shards), "shard")
-    found = shares.groupBy("shard").applyInArrow(_merge_words(folder), ", ".join(f"{n} long" for n in _SUMS))
-    s = {n: x or 0 for n, x in found.agg(*[F.sum(n).alias(n) for n in _SUMS]).first().asDict().items()}
-    atexit.register(folder.remove)
-    return Model(
-        folder, shards, word_shards, s["n_tokens"], s["n_words"], s["s4"],
-        discounts(s["s0"], s["s1"], s["s2"], s["s3"]), discounts(s["k1"], s["k2"], s["k3"], s["k4"]), (s["k1"], s["k2"], s["more"]),
-    )
-
-
-class _Tables:
-    """The shards of one kind of array, mapped when first asked for; the oldest mappings go first."""
-
-    def __init__(self, folder: Folder, kind: str, shards: int, kinds: list[str], cache: dict):
-        self.folder, self.kind, self.shards, self.kinds, self.cache = folder, kind, shards, kinds, cache
-        self.open: dict[int, list[np.ndarray]] = {}
-
-    def __getitem__(self, shard: int) -> list[np.ndarray]:
-        if shard not in self.open:
-            if len(self.open) >= MAPPED_FILES:
-                del self.open[next(iter(self.open))]
-            try:
-                self.open[shard] = _mapped(self.folder, f"{self.kind}-{shard:06d}", self.kinds, self.cache)
-            except FileNotFoundError:  # a shard that got nothing
-                self.open[shard] = [np.zeros(0, k) for k in self.kinds]
-        return self.open[shard]
-
-    def find(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The values of sorted keys, 0 where a key is missing."""
-        out = [np.zeros(len(keys)) for _ in self.kinds[1:]]
-        if not self.shards or not len(keys):
-            return out
-        own, begin = np.unique(shard_of(keys, self.shards), return_index=True)
-        for shard, a, b in zip(own.tolist(), begin, [*begin[1:], len(keys)], strict=True):
-            have, *values = self[shard]
-            if len(have):
-                at = np.searchsorted(have, keys[a:b])
-                at[at == len(have)] = 0
-                hit = have[at] == keys[a:b]
-                for o, x in zip(out, values, strict=True):
-                    o[a:b] = np.where(hit, x[at], 0)
-        return out
+    layout = Layout(folder, order, shards, int(np.ceil(shards**WORD_POWER)), hot)
+    texts = docs.select("text")
+
+    def dealt(df: DataFrame, parts: int) -> DataFrame:
+        # partitions grow with the shards, so that a task has few of them whatever the session's number is
+        return df.repartition(max(shuffle_partitions(spark), SPREAD * parts), "shard").groupBy("shard")
+
+    with session_conf(spark, **{SHUFFLE_CLEANUP.replace(".", "__"): "true"}):
+        counted = dealt(texts.mapInArrow(_word_pass(layout.word_shards), "shard long, h binary, c binary"), layout.word_shards)
+        found = counted.applyInArrow(_merge_vocabulary(folder), "shard long, n long, n_tokens long, n_words long").collect()
+        if not found:
+            return Model(layout)
+        sizes = {r["shard"]: r["n"] for r in found}
+        layout.offsets = np.cumsum([0, *(sizes.get(s, 0) for s in range(layout.word_shards - 1))]).tolist()
+        if sum(sizes.values()) >= 2**32:
+            raise ValueError("more than 2^32 different words")
+        model = Model(layout, sum(r["n_tokens"] for r in found), sum(r["n_words"] for r in found))
+
+        messages = texts.mapInArrow(_gram_pass(layout, 2), _MESSAGE)
+        if order == 3:
+            partial = f"{folder.uri}/partial"
+            dealt(texts.mapInArrow(_gram_pass(layout, 3), _MESSAGE), shards).applyInArrow(_merge_trigrams(layout), _PARTIAL).write.parquet(partial)
+            told = spark.read.parquet(partial)
+            s = told.agg(*[F.sum(k).alias(k) for k in _SUMS]).first()
+            model.discounts[3] = discounts(*(s[k] or 0 for k in _SUMS[:4]))
+            dealt(told.filter(F.col("kind").isin(AFTER, AFTER_TOO)).drop(*_SUMS), shards).applyInArrow(_merge_hot(layout), "n long").agg(F.sum("n")).collect()
+            messages = messages.union(told.filter(F.col("kind") == VALUES).drop(*_SUMS))
+        shares = dealt(messages, shards).applyInArrow(_merge_bigrams(layout), _SHARES_DDL)
+        sums = dealt(shares, layout.word_shards).applyInArrow(_merge_around(layout), ", ".join(f"{n} long" for n in _WORD_SUMS))
+        s = {k: v or 0 for k, v in sums.agg(*[F.sum(n).alias(n) for n in _WORD_SUMS]).first().asDict().items()}
+    model.discounts[2] = discounts(*(s[k] for k in _SUMS[:4]))
+    model.discounts[1] = discounts(s["k1"], s["k2"], s["k3"], s["k4"])
+    model.n_pairs, model.kinds = s["s4"], (s["k1"], s["k2"], s["more"])
+    return model
+
+
+# ---- scoring ----
+
+
+def _cut(n: np.ndarray, d: Discounts) -> np.ndarray:
+    """Counts less their discounts."""
+    return n - np.select([n >= 3, n == 2, n == 1], [d[2], d[1], d[0]], 0.0)
+
+
+def _interpolated(n: np.ndarray, after: list[np.ndarray], d: Discounts, lower: np.ndarray) -> np.ndarray:
+    """The discounted share of the context's total, and what the discounts leave for the lower order."""
+    total, *seen = after
+    spare = np.where(total > 0, sum(x * y for x, y in zip(d, seen, strict=True)) / np.maximum(total, 1), 1.0)
+    return _cut(n, d) / np.maximum(total, 1) + spare * lower
 
 
 class Scorer:
     """The mapped arrays of a model."""
 
     def __init__(self, model: Model):
-        self.m = model
-        some, cache = bool(model.n_tokens), {}
-        self.pairs = _Tables(model.folder, "pairs", model.shards * some, PAIR_KINDS, cache)
-        self.more = _Tables(model.folder, "more", model.shards * some, MORE_KINDS, cache)
-        self.words = _Tables(model.folder, "words", model.word_shards * some, WORD_KINDS, cache)
-        d, once = model.word_discounts, model.word_once
-        self.spare = sum(a * b for a, b in zip(d, once, strict=True)) / model.n_pairs if model.n_pairs else 1.0
-        self.texts = float(self.words.find(np.array([END]))[0][0])
+        self.m, cache = model, {}
+        folder = model.layout.folder
+        if model.n_tokens:
+            self.words = Words(model.layout, cache)
+            self.files = {k: _Files(folder, k, cache, Packed) for k in ("trigrams", "after", "hot", "bigrams")}
 
     def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
         """n_tokens, n_known, base score and log10 probability of every text."""
@@ -321,30 +641,53 @@ class Scorer:
                 block, n = [], 0
         return out + (self._block(block) if block else [])
 
+    def _probabilities(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and probabilities of the tokens."""
+        m, layout = self.m, self.m.layout
+        if not m.n_tokens:
+            return np.zeros(len(w), np.int64), np.ones(len(w))
+        w, v, u = _numbered(w, self.words)
+        ids, of = np.unique(np.concatenate([w, v]), return_inverse=True)
+        count, (kinds, *after) = self.words.counts(ids), self.words.around(ids)
+        of_w, of_v = of[: len(w)], of[len(w) :]
+        spare = sum(a * b for a, b in zip(m.discounts[1], m.kinds, strict=True)) / m.n_pairs
+        p = (_cut(kinds, m.discounts[1]) / m.n_pairs + spare / (m.n_words + 1))[of_w]
+
+        n = np.zeros(len(w), np.int64)
+        known = np.flatnonzero((v >= 0) & (w >= 0))
+        pairs, back = np.unique(pair_of(v[known], w[known]), return_inverse=True)
+        key = _mix(pairs)
+        n[known] = self.files["bigrams"].find(key, shard_of(key, layout.shards), 1)[0][back]
+        p = _interpolated(n, [x[of_v] for x in after], m.discounts[2], p)
+        if layout.order == 2:
+            return count[of_w], p
+
+        inner = np.flatnonzero((u >= 0) & (v >= 0))
+        pairs, back = np.unique(pair_of(u[inner], v[inner]), return_inverse=True)
+        key, hot = _mix(pairs), self.words.hot(pairs)
+        shard = shard_of(key, layout.shards)
+        after = [np.zeros(len(pairs), np.int64) for _ in range(4)]
+        for kind, chosen in (("after", ~hot), ("hot", hot)):
+            for a, x in zip(after, self.files[kind].find(key[chosen], shard[chosen], 4), strict=True):
+                a[chosen] = x
+        n = np.zeros(len(inner), np.int64)
+        known = np.flatnonzero((w[inner] >= 0) & (after[0][back] > 0))
+        _, at, last, _ = grams = _counted(back[known], w[inner][known])
+        own = np.unique(back[known])
+        triples = triple_key(key[own][at], last)
+        where = np.where(hot[own][at], shard_of(triples, layout.shards), shard[own][at])
+        found = self.files["trigrams"].find(triples, where, 1)[0]
+        order = grams[1].astype(np.uint64) << _HALF | last
+        n[known] = found[np.searchsorted(order, pair_of(np.searchsorted(own, back[known]), w[inner][known]))]
+        p[inner] = _interpolated(n, [x[back] for x in after], m.discounts[3], p[inner])
+        return count[of_w], p
+
     def _block(self, parts: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         m = self.m
-        w = np.concatenate(parts)
-        v = contexts(w)
-        key, inverse = np.unique(np.concatenate([w, [START]]), return_inverse=True)
-        count, kinds, n1, n2, n3 = self.words.find(key)
-        of_word = inverse[: len(w)]
-        of_context = np.where(v == START, inverse[-1], np.concatenate([[0], of_word[:-1]]))
-        d1, d2, d3 = m.word_discounts
-        cut = np.select([kinds >= 3, kinds == 2, kinds == 1], [d3, d2, d1], 0.0)
-        lower = (kinds - cut) / max(m.n_pairs, 1) + self.spare / (m.n_words + 1)
-        e1, e2, e3 = m.pair_discounts
-        total = np.where(key == START, self.texts, np.where(key == END, 0, count))
-        spare = np.where(total > 0, (e1 * n1 + e2 * n2 + e3 * n3) / np.maximum(total, 1), 1.0)
-        pair, back = np.unique(pair_hash(v, w), return_inverse=True)
-        (c,) = self.pairs.find(pair)
-        often = np.flatnonzero(c == MANY)
-        (c[often],) = self.more.find(pair[often])
-        c = (c - np.select([c >= 3, c == 2, c == 1], [e3, e2, e1], 0.0))[back]
-        p = c / np.maximum(total[of_context], 1) + spare[of_context] * lower[of_word]
-        base = np.log10((count + 1) / (m.n_tokens + 1 * (m.n_words + 1)))[of_word]
-        known = (count > 0)[of_word]
+        count, p = self._probabilities(np.concatenate(parts))
+        base = np.log10((count + 1) / (m.n_tokens + 1 * (m.n_words + 1)))
         begin = np.concatenate([[0], np.cumsum([len(x) for x in parts])[:-1]])
-        sums = [np.add.reduceat(x, begin) for x in (known.astype(np.int64), base, np.log10(p))]
+        sums = [np.add.reduceat(x, begin) for x in ((count > 0).astype(np.int64), base, np.log10(p))]
         return [(len(x), int(k), float(b), float(s)) for x, k, b, s in zip(parts, *sums, strict=True)]
 
 
@@ -379,8 +722,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram scores of all documents, learned from those that are not held out."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    model = train(docs.filter(~held_out(F.col("doc_id"))), ORDER)
     scored = score_documents(docs, model, keep_text=False)
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",

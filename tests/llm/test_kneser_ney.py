@@ -14,40 +14,50 @@ def toks(t):
     return [x.decode() for x in (t or "").translate(LOWER).encode().split()] + ["</s>"]
 
 
-def slow(train, texts):
-    uni, bi = Counter(), Counter()
+def slow(train, texts, order=3):
+    """The textbook model: dictionaries of counts, one level after the other."""
+    grams = [Counter() for _ in range(order + 1)]
     for t in train:
-        ws = toks(t)
-        uni.update(ws)
-        bi.update(zip(["<s>", *ws], ws, strict=False))
+        ws = ["<s>", *toks(t)]
+        for k in range(1, order + 1):
+            grams[k].update(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
+    uni = {g[0]: c for g, c in grams[1].items() if g != ("<s>",)}
     N, V = sum(uni.values()), len(uni)
-    kinds = Counter(w for _, w in bi)
-    after, total = defaultdict(Counter), Counter()
-    for (v, _), c in bi.items():
-        after[v][min(c, 3)] += 1
-        total[v] += c
-
-    def disc(counts):
-        n = Counter(counts)
-        return (0, *kn.discounts(n[1], n[2], n[3], n[4]))
-
-    dk, db = disc(kinds.values()), disc(bi.values())
-    spare = sum(dk[min(k, 3)] for k in kinds.values()) / len(bi) if bi else 1
-
-    def p(v, w):
-        low = (kinds[w] - dk[min(kinds[w], 3)]) / max(len(bi), 1) + spare / (V + 1)
-        g = sum(db[k] * n for k, n in after[v].items()) / total[v] if total[v] else 1
-        return (bi[v, w] - db[min(bi[v, w], 3)]) / max(total[v], 1) + g * low, g
+    value = {order: grams[order]}
+    for k in range(order - 1, 0, -1):
+        value[k] = Counter({g: c for g, c in grams[k].items() if g[0] == "<s>" and k > 1})
+        value[k].update(g[1:] for g in grams[k + 1])
+    after, total, d = {}, {}, {}
+    for k in range(1, order + 1):
+        n = Counter(value[k].values())
+        d[k] = (0, *kn.discounts(n[1], n[2], n[3], n[4]))
+        after[k], total[k] = defaultdict(Counter), Counter()
+        for g, c in value[k].items():
+            after[k][g[:-1]][min(c, 3)] += 1
+            total[k][g[:-1]] += c
+
+    def p(h, w, k):
+        if k == 0:
+            return 1 / (V + 1)
+        if len(h) < k - 1:
+            return p(h, w, k - 1)
+        c = h[len(h) - k + 1 :]
+        low = p(h, w, k - 1)
+        if not total[k][c]:
+            return low
+        n = value[k][(*c, w)]
+        return (n - d[k][min(n, 3)]) / total[k][c] + sum(d[k][j] * m for j, m in after[k][c].items()) / total[k][c] * low
 
     out = []
     for t in texts:
-        ws = toks(t)
+        ws = ["<s>", *toks(t)]
         out.append((
-            len(ws), sum(uni[w] > 0 for w in ws), sum(math.log10((uni[w] + 1) / (N + V + 1)) for w in ws),
-            sum(math.log10(p(v, w)[0]) for v, w in zip(["<s>", *ws], ws, strict=False)),
+            len(ws) - 1, sum(uni.get(w, 0) > 0 for w in ws[1:]), sum(math.log10((uni.get(w, 0) + 1) / (N + V + 1)) for w in ws[1:]),
+            sum(math.log10(p(tuple(ws[max(0, i - order + 1) : i]), ws[i], order)) for i in range(1, len(ws))),
         ))
     vocab = [*uni, "unknown!"]
-    sums = [sum(p(v, w)[0] for w in vocab) for v in ["<s>", *list(uni)[:20], "unknown!"] if v != "</s>"]
+    contexts = [("<s>",), *list(grams[order])[:15], *((w,) for w in list(uni)[:10] if w != "</s>"), ("unknown!", "w1")]
+    sums = [sum(p(c[-(order - 1) :], w, order) for w in vocab) for c in contexts if c[-1] != "</s>"]
     return N, out, sums
 
 
@@ -58,15 +68,15 @@ def corpus():
     return [rng.choice([" ", "\n", " \x0b"]).join(rng.choices(vocab, weights, k=rng.choice([0, 1, 5, 60]))) for _ in range(150)] + [None, "", "new words here", "w1 " * 5000]
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 30, 500])
-def test_equals_textbook(spark, monkeypatch, shard_bytes):
+@pytest.mark.parametrize(("order", "shard_bytes", "hot"), [(2, 1 << 30, 10**9), (2, 500, 50), (3, 1 << 30, 10**9), (3, 500, 20), (3, 700, 0)])
+def test_equals_textbook(spark, monkeypatch, order, shard_bytes, hot):
     monkeypatch.setattr(kn, "FOLD_TOKENS", 300)
     monkeypatch.setattr(kn, "BLOCK_TOKENS", 200)
     texts = corpus()
     docs = spark.createDataFrame([(k, t, 1.0) for k, t in enumerate(texts)] + [(3, texts[3], 1.0)], "doc_id long, text string, score double").repartition(3)
     train = [t for k, t in enumerate(texts) if k % 7 != 2] + [texts[3]]
-    model = kn.train(docs.filter("doc_id % 7 <> 2"), shard_bytes)
-    n, want, sums = slow(train, texts)
+    model = kn.train(docs.filter("doc_id % 7 <> 2"), order, shard_bytes=shard_bytes, hot=hot)
+    n, want, sums = slow(train, texts, order)
     assert model.n_tokens == n and all(abs(s - 1) < 1e-9 for s in sums)
     got = kn.score_documents(docs, model).collect()
     assert len(got) == len(texts) + 1
@@ -95,3 +105,22 @@ def test_nothing_to_learn(spark):
     (r,) = kn.score_documents(one, kn.train(none)).collect()
     assert (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) == (3, 0, 0.0, 0.0)
     assert kn.score_documents(none, kn.train(one)).count() == 0
+
+
+def test_packed_arrays():
+    rng = random.Random(1)
+    import numpy as np
+
+    keys = np.array(sorted({rng.getrandbits(64) for _ in range(5000)}), np.uint64)
+    counts = [np.array([rng.choice([1, 2, 254, 255, 256, 10**12]) for _ in keys]) for _ in range(2)]
+    got = kn.Packed(np.frombuffer(b"".join(kn.packed(keys, counts)), np.uint8))
+    assert all((x == y).all() for x, y in zip(got.find(keys), counts, strict=True))
+    other = np.array([rng.getrandbits(64) for _ in range(1000)], np.uint64)
+    assert not got.find(other)[0].any()
+    none = kn.Packed(np.frombuffer(b"".join(kn.packed(keys[:0], [counts[0][:0]])), np.uint8))
+    assert none.n == 0
+
+
+def test_order(spark):
+    with pytest.raises(ValueError, match="order"):
+        kn.train(spark.createDataFrame([], "text string"), 4)
