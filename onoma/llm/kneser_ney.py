@@ -20,6 +20,7 @@ from __future__ import annotations
 import atexit
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ from onoma.llm.folder import Folder
 
 ORDER = 3
 #: Tokens that a task folds before it sends them, and tokens that are looked up at a time.
-FOLD_TOKENS = 3_000_000
+FOLD_TOKENS = 2_000_000
 BLOCK_TOKENS = 1_000_000
 #: Bytes of training text for one shard.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 #: Words grow slower than n-grams: so many word shards for a number of shards, as a power of it.
 WORD_POWER = 0.6
 #: Two words next to each other are hot if both are counted more often than this.
@@ -44,7 +45,9 @@ HOT = 500_000
 SPREAD = 2
 #: Files that a worker keeps mapped at a time.
 MAPPED_FILES = 2048
-CACHE_WORDS = 150_000
+#: Bytes of text that are hashed at a time; longer words are hashed alone.
+MOST_BYTES = 1 << 20
+BASE = 0x9FB21C651E98DF27
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -52,33 +55,56 @@ _LOW = np.uint64(0xFFFFFFFF)
 _HALF = np.uint64(32)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Scatter 64 bits; different numbers stay different."""
+    x = (x ^ (x >> np.uint64(29))) * _M1
+    x = (x ^ (x >> _HALF)) * _M2
+    return x ^ (x >> np.uint64(31))
 
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-_HASHES = _WordHashes()
 
+@lru_cache(1)
+def _hashing() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code of every byte (A-Z as a-z, white space 0), powers of a base modulo 2^64 and of its inverse."""
+    code = _mix(np.arange(1, 257, dtype=np.uint64) * _M3)
+    code[ord("A") : ord("Z") + 1] = code[ord("a") : ord("z") + 1]
+    code[[0x20, *range(0x09, 0x0E)]] = 0
+    return code, _powers(BASE, MOST_BYTES), _powers(pow(BASE, -1, 1 << 64), MOST_BYTES)
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words (A-Z lower-cased, cut at ASCII white space), then the end."""
-    ws = (text or "").encode("utf-8", "surrogatepass").translate(_UPPER).split()
-    out = np.empty(len(ws) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
-    out[-1] = END
-    return out
 
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words of at most MOST_BYTES bytes: polynomials over the bytes' codes, from running sums of all."""
+    code, power, inverse = _hashing()
+    x = code[np.frombuffer(raw, np.uint8)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], x != 0, [False]]).view(np.int8)))
+    first, end = edges[::2], edges[1::2]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)], dtype=np.uint64)])
+    return _mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64) * _M2)
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Scatter 64 bits; different numbers stay different."""
-    x = (x ^ (x >> np.uint64(29))) * _M1
-    x = (x ^ (x >> _HALF)) * _M2
-    return x ^ (x >> np.uint64(31))
+
+def tokens(text: str | None) -> np.ndarray:
+    """Hashes of the words (A-Z lower-cased, cut at ASCII white space), then the end."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if len(raw) <= MOST_BYTES:
+        return np.append(_word_hashes(raw), END)
+    import xxhash
+
+    parts, held, size = [], [], 0
+    for w in [*raw.split(), None]:
+        if held and (w is None or len(w) > MOST_BYTES or size + len(w) >= MOST_BYTES):
+            parts.append(_word_hashes(b" ".join(held)))
+            held, size = [], 0
+        if w is not None and len(w) > MOST_BYTES:
+            parts.append(np.array([xxhash.xxh3_64_intdigest(w.translate(_UPPER))], np.uint64))
+        elif w is not None:
+            held.append(w)
+            size += len(w) + 1
+    return np.append(np.concatenate(parts or [np.zeros(0, np.uint64)]), END)
 
 
 def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,71 +131,125 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 # ---- files ----
 
 
-def packed(keys: np.ndarray, columns: list[np.ndarray]) -> list[bytes]:
-    """A sorted hash array as bytes: 48 bits of every key, 16 of them as an index, and its counts.
-
-    A count takes one byte; those of 255 or more stand apart with their places.
-    """
-    k = keys & np.uint64((1 << 48) - 1)
-    order = np.argsort(k, kind="stable")
-    k = k[order]
-    index = np.searchsorted(k >> _HALF, np.arange((1 << 16) + 1, dtype=np.uint64)).astype("<u4")
-    body, often = [(k & _LOW).astype("<u4")], []
+def _small(columns: list[np.ndarray]) -> list[bytes]:
+    """Counts in one byte each; those of 255 or more stand apart with their places."""
+    body, often = [], []
     for c in columns:
-        c = c[order].astype(np.int64)
         body.append(np.minimum(c, 255).astype("u1"))
         at = np.flatnonzero(c >= 255)
         often.append((at.astype("<u4"), c[at].astype("<i8")))
-    head = np.array([len(k), len(columns), *(len(at) for at, _ in often)], "<i8")
-    return [x.tobytes() for x in (head, index, *body, *(y for pair in often for y in pair))]
+    head = np.array([len(columns[0]), len(columns), *(len(at) for at, _ in often)], "<i8")
+    return [x.tobytes() for x in (head, *(y for pair in often for y in pair[::-1]), *body)]
 
 
-class Packed:
-    """A mapped ``packed`` array."""
+class Small:
+    """A mapped ``_small`` array."""
 
-    def __init__(self, raw: np.ndarray):
-        take = self._taker(raw)
+    def __init__(self, take):
         self.n, columns = take("<i8", 2).tolist()
-        often = take("<i8", columns).tolist()
-        self.index = take("<u4", (1 << 16) + 1)
-        self.rest = take("<u4", self.n)
+        sizes = take("<i8", columns).tolist()
+        self.often = [(take("<i8", m), take("<u4", m)) for m in sizes]
         self.columns = [take("u1", self.n) for _ in range(columns)]
-        self.often = [(take("<u4", m), take("<i8", m)) for m in often]
 
-    @staticmethod
-    def _taker(raw: np.ndarray):
-        at = 0
+    def at(self, place: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for c, (value, often) in zip(self.columns, self.often, strict=True):
+            x = c[place].astype(np.int64)
+            many = np.flatnonzero(x == 255)
+            x[many] = value[np.searchsorted(often, place[many])]
+            out.append(x)
+        return out
+
+
+def _taker(raw: np.ndarray):
+    """Cuts one array after the other off the bytes of a file."""
+    at = 0
+
+    def take(kind: str, n: int) -> np.ndarray:
+        nonlocal at
+        size = n * np.dtype(kind).itemsize
+        part, at = raw[at : at + size], at + size
+        return np.frombuffer(part, kind)
+
+    return take
+
 
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            size = n * np.dtype(kind).itemsize
-            part, at = raw[at : at + size], at + size
-            return np.frombuffer(part, kind)
+def _forty(keys: np.ndarray, bits: int) -> np.ndarray:
+    """40 bits of every key, after the first ``bits``, which all keys of a file share."""
+    return (keys << np.uint64(bits)) >> np.uint64(24)
 
-        return take
+
+def packed(keys: np.ndarray, columns: list[np.ndarray], bits: int) -> list[bytes]:
+    """A sorted hash array as bytes: its counts, 32 bits of every key to search by, and 8 to check."""
+    k = _forty(keys, bits)
+    order = np.argsort(k)
+    k = k[order]
+    return [*_small([c[order].astype(np.int64) for c in columns]), (k >> np.uint64(8)).astype("<u4").tobytes(), (k & np.uint64(255)).astype("u1").tobytes()]
+
+
+class Packed:
+    """A mapped ``packed`` array. A key that is not there is taken for another one of n with probability n / 2^40."""
+
+    def __init__(self, raw: np.ndarray, bits: int):
+        take, self.bits = _taker(raw), bits
+        self.counts = Small(take)
+        self.n = self.counts.n
+        head = raw[len(raw) - 5 * self.n : len(raw) - self.n]
+        # searching wants the array aligned, and so as a copy where the file has it otherwise
+        self.head = np.frombuffer(head, "<u4") if head.ctypes.data % 4 == 0 else np.frombuffer(head.tobytes(), "<u4")
+        self.check = raw[len(raw) - self.n :]
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
-        """The counts of the keys, 0 where a key is missing: a binary search inside the 16-bit index."""
-        k = keys & np.uint64((1 << 48) - 1)
-        top, rest = (k >> _HALF).astype(np.int64), (k & _LOW).astype(np.uint32)
-        low, high = self.index[top].astype(np.int64), self.index[top + 1].astype(np.int64)
-        end = high.copy()
-        while (open_ := low < high).any():
-            mid = (low + high) >> 1
-            less = open_ & (self.rest[np.minimum(mid, self.n - 1)] < rest)
-            low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
-        hit = low < end
-        hit[hit] = self.rest[low[hit]] == rest[hit]
+        """The counts of the keys (best in order), 0 where a key is missing."""
+        k = _forty(keys, self.bits)
+        head, check = (k >> np.uint64(8)).astype(np.uint32), (k & np.uint64(255)).astype(np.uint8)
+        place = np.searchsorted(self.head, head)
+        hit, ask = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(ask):  # several keys may share their first 32 bits
+            ask = ask[place[ask] < self.n]
+            ask = ask[self.head[place[ask]] == head[ask]]
+            same = self.check[place[ask]] == check[ask]
+            hit[ask[same]] = place[ask[same]]
+            ask = ask[~same]
+            place[ask] += 1
+        there = np.flatnonzero(hit >= 0)
         out = []
-        for c, (at, value) in zip(self.columns, self.often, strict=True):
+        for found in self.counts.at(hit[there]):
             x = np.zeros(len(keys), np.int64)
-            x[hit] = c[low[hit]]
-            many = np.flatnonzero(x == 255)
-            x[many] = value[np.searchsorted(at, low[many])]
+            x[there] = found
             out.append(x)
         return out
 
 
+def packed_after(keys: np.ndarray, after: list[np.ndarray], bits: int) -> list[bytes]:
+    """A sorted hash array of contexts: a byte for those after which nothing is counted more than twice."""
+    total, n1, n2, n3 = after
+    plain = (n1 < 63) & (n2 < 4) & (n3 == 0)
+    code = np.where(plain, n1 * 4 + n2, 255 + np.cumsum(~plain) - 1)
+    wide = [x[~plain].astype("<i8").tobytes() for x in after]
+    return [np.array([int((~plain).sum())], "<i8").tobytes(), *wide, *packed(keys, [code], bits)]
+
+
+class PackedAfter:
+    """A mapped ``packed_after`` array."""
+
+    def __init__(self, raw: np.ndarray, bits: int):
+        take = _taker(raw)
+        m = int(take("<i8", 1)[0])
+        self.wide = [take("<i8", m) for _ in range(4)]
+        self.codes = Packed(raw[8 + 32 * m :], bits)
+        self.n = self.codes.n
+
+    def find(self, keys: np.ndarray) -> list[np.ndarray]:
+        (code,) = self.codes.find(keys)
+        n1, n2 = code >> 2, code & 3
+        out = [n1 + 2 * n2, n1, n2, np.zeros(len(code), np.int64)]
+        many = np.flatnonzero(code >= 255)
+        for o, x in zip(out, self.wide, strict=True):
+            o[many] = x[code[many] - 255]
+        return out
+
+
 class _Files:
     """The files of one kind, opened when first asked for; the oldest mappings go first."""
 
@@ -193,11 +273,12 @@ class _Files:
         out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
         if not len(keys):
             return out
-        order = np.argsort(shard, kind="stable")
-        own, begin = np.unique(shard[order], return_index=True)
-        for s, a, b in zip(own.tolist(), begin, [*begin[1:], len(keys)], strict=True):
-            if (table := self[s]) is not None and table.n:
-                at = order[a:b]
+        order = None if (shard[1:] >= shard[:-1]).all() else np.argsort(shard, kind="stable")
+        sorted_ = shard if order is None else shard[order]
+        begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        for a, b in zip(begin, [*begin[1:], len(keys)], strict=True):
+            if (table := self[int(sorted_[a])]) is not None and table.n:
+                at = slice(a, b) if order is None else order[a:b]
                 for o, x in zip(out, table.find(keys[at]), strict=True):
                     o[at] = x
         return out
@@ -215,8 +296,14 @@ def _rows_of(kinds: list[str]):
     return opened
 
 
-#: The files of words: hash and count of every word; then what follows and precedes it.
-VOCABULARY, AROUND = ["<u8", "<i8"], ["<i8"] * 5
+#: The files of words: hash and count of every word; then what precedes and follows it. (Places of the frequent ones have a file too.)
+AROUND = 5
+
+
+def _vocabulary(raw: np.ndarray) -> tuple[np.ndarray, Small]:
+    take = _taker(raw)
+    hashes = take("<u8", int(take("<i8", 1)[0]))
+    return hashes, Small(take)
 
 
 @dataclass
@@ -230,15 +317,21 @@ class Layout:
     hot: int
     offsets: list[int] = field(default_factory=list)
 
+    @property
+    def bits(self) -> int:
+        """The shards are a power of two: so many first bits of a hash are its shard."""
+        return self.shards.bit_length() - 1
+
 
 class Words:
     """The words' numbers and counts, by hash or by number."""
 
     def __init__(self, layout: Layout, cache: dict):
         self.shards, self.offsets = layout.word_shards, np.array(layout.offsets, np.int64)
-        self.files = _Files(layout.folder, "vocabulary", cache, _rows_of(VOCABULARY))
-        self.around_files = _Files(layout.folder, "around", cache, _rows_of(AROUND))
-        self.hot_from = layout.hot
+        self.files = _Files(layout.folder, "vocabulary", cache, _vocabulary)
+        self.around_files = _Files(layout.folder, "around", cache, lambda raw: Small(_taker(raw)))
+        self.often_files = _Files(layout.folder, "often", cache, _rows_of(["<i8"]))
+        self.often: np.ndarray | None = None
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers (-1: unknown) and counts of sorted different hashes."""
@@ -246,36 +339,32 @@ class Words:
         cut = np.searchsorted(shard_of(h, self.shards), np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             a, b = cut[s], cut[s + 1]
-            have, count = self.files[s] or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            if len(have):
+            if self.files[s] is not None:
+                have, count = self.files[s]
                 at = np.minimum(np.searchsorted(have, h[a:b]), len(have) - 1)
                 hit = have[at] == h[a:b]
                 ids[a:b] = np.where(hit, self.offsets[s] + at, -1)
-                counts[a:b] = np.where(hit, count[at], 0)
+                counts[a:b] = np.where(hit, count.at(at)[0], 0)
         return ids, counts
 
-    def _by_number(self, files: _Files, ids: np.ndarray, columns: int, first: int) -> list[np.ndarray]:
-        out = [np.zeros(len(ids), np.int64) for _ in range(columns)]
+    def around(self, ids: np.ndarray) -> list[np.ndarray]:
+        """Different words before; sum of the counts after; words after that are counted once, twice, more often."""
+        out = [np.zeros(len(ids), np.int64) for _ in range(AROUND)]
         shard = np.searchsorted(self.offsets, ids, "right") - 1
         for s in np.unique(shard[ids >= 0]).tolist():
             at = np.flatnonzero((shard == s) & (ids >= 0))
-            rows = files[s]
-            if rows is not None:
-                for o, x in zip(out, rows[first:], strict=True):
-                    o[at] = x[ids[at] - self.offsets[s]]
+            if (table := self.around_files[s]) is not None:
+                for o, x in zip(out, table.at(ids[at] - self.offsets[s]), strict=True):
+                    o[at] = x
         return out
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        return self._by_number(self.files, ids, 1, 1)[0]
-
-    def around(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Different words before; sum of the counts after; words after that are counted once, twice, more often."""
-        return self._by_number(self.around_files, ids, 5, 0)
-
     def hot(self, pairs: np.ndarray) -> np.ndarray:
-        words = np.unique(np.concatenate([pairs >> _HALF, pairs & _LOW])).astype(np.int64)
-        often = words[self.counts(words) > self.hot_from].astype(np.uint64)
-        return np.isin(pairs >> _HALF, often) & np.isin(pairs & _LOW, often)
+        """Whether both words of a pair are listed as frequent ones."""
+        if self.often is None:
+            lists = [self.often_files[s] for s in range(self.shards)]
+            self.often = np.concatenate([o + x[0] for o, x in zip(self.offsets, lists, strict=True) if x is not None]).astype(np.uint64)
+        listed = lambda ids: self.often[np.minimum(np.searchsorted(self.often, ids), len(self.often) - 1)] == ids
+        return listed(pairs >> _HALF) & listed(pairs & _LOW) if len(self.often) else np.zeros(len(pairs), bool)
 
     def ends(self) -> tuple[int, int]:
         ids, _ = self.find(np.array([START, END], np.uint64))
@@ -352,11 +441,12 @@ def _word_pass(shards: int):
     return run
 
 
-def _merge_vocabulary(folder: Folder):
+def _merge_vocabulary(folder: Folder, hot: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         h, c = _sum_by(_blobs(table, "h", np.uint64), _blobs(table, "c", np.int64))
-        folder.put(f"vocabulary-{shard:07d}", [h.astype("<u8").tobytes(), c.astype("<i8").tobytes()])
+        folder.put(f"vocabulary-{shard:07d}", [np.array([len(h)], "<i8").tobytes(), h.astype("<u8").tobytes(), *_small([c])])
+        folder.put(f"often-{shard:07d}", [np.flatnonzero(c > hot).astype("<i8").tobytes()])
         sums = [shard, len(h), int(c.sum()), int((c > 0).sum())]
         return pa.table({k: pa.array([x], pa.int64()) for k, x in zip(("shard", "n", "n_tokens", "n_words"), sums, strict=True)})
 
@@ -445,9 +535,10 @@ def _merge_trigrams(layout: Layout):
         u, v, w, n = _fields(table, GRAMS, "abcd")
         pairs, at, last, n = _counted(pair_of(u, v), w, n)
         key = _mix(pairs)
-        layout.folder.put(f"trigrams-{shard:07d}", packed(triple_key(key[at], last), [n]))
+        layout.folder.put(f"trigrams-{shard:07d}", packed(triple_key(key[at], last), [n], 0))
         after, hot = _after(at, n, len(pairs)), words.hot(pairs)
-        layout.folder.put(f"after-{shard:07d}", packed(key[~hot], [x[~hot] for x in after]))
+        told = ~hot & (after[0] > 1)  # a pair that is seen, but not here, is followed by one word once
+        layout.folder.put(f"after-{shard:07d}", packed_after(key[told], [x[told] for x in after], layout.bits))
         a, b = pairs[hot] >> _HALF, pairs[hot] & _LOW
         to, values = shard_of(key[hot], layout.shards), [x[hot] for x in after]
         bigrams, before = np.unique(pair_of((pairs & _LOW)[at], last), return_counts=True)
@@ -471,7 +562,7 @@ def _merge_hot(layout: Layout):
         a, b, *first = _fields(table, AFTER, "abcd")
         c, d, *second = _fields(table, AFTER_TOO, "abcd")
         pairs, *values = _sum_by(np.concatenate([pair_of(a, b), pair_of(c, d)]), *(np.concatenate([x, np.zeros(len(c), np.uint64)]) for x in first), *(np.concatenate([np.zeros(len(a), np.uint64), x]) for x in second))
-        layout.folder.put(f"hot-{shard:07d}", packed(_mix(pairs), values))
+        layout.folder.put(f"hot-{shard:07d}", packed_after(_mix(pairs), [x.astype(np.int64) for x in values], layout.bits))
         return pa.table({"n": pa.array([len(pairs)], pa.int64())})
 
     return run
@@ -491,7 +582,7 @@ def _merge_bigrams(layout: Layout):
         pairs, at, _, _ = _counted(pair_of(v, w), u)
         a, b, n = _fields(table, VALUES, "abc")
         pairs, n = _sum_by(np.concatenate([pairs, pair_of(a, b)]), np.concatenate([np.bincount(at, minlength=len(pairs)), n.astype(np.int64)]))
-        layout.folder.put(f"bigrams-{shard:07d}", packed(_mix(pairs), [n]))
+        layout.folder.put(f"bigrams-{shard:07d}", packed(_mix(pairs), [n], layout.bits))
         firsts, of = np.unique(pairs >> _HALF, return_inverse=True)
         seconds, before = np.unique(pairs & _LOW, return_counts=True)
         after = _after(of, n, len(firsts))
@@ -514,13 +605,13 @@ def _merge_around(layout: Layout):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         low = layout.offsets[shard]
-        size = len(_rows_of(VOCABULARY)(layout.folder.map(f"vocabulary-{shard:07d}", {}))[0])
+        size = len(_vocabulary(layout.folder.map(f"vocabulary-{shard:07d}", {}))[0])
         w, before, v, *after = (_blobs(table, n, np.int64) for n in _AROUND)
-        dense = [np.zeros(size, np.int64) for _ in AROUND]
+        dense = [np.zeros(size, np.int64) for _ in range(AROUND)]
         np.add.at(dense[0], w - low, before)
         for d, x in zip(dense[1:], after, strict=True):
             np.add.at(d, v - low, x)
-        layout.folder.put(f"around-{shard:07d}", [d.astype("<i8").tobytes() for d in dense])
+        layout.folder.put(f"around-{shard:07d}", _small(dense))
         sums = [int(sum(table.column(s).to_pylist())) for s in _SUMS]
         sums += [int((dense[0] == k).sum()) for k in (1, 2, 3, 4)] + [int((dense[0] > 2).sum())]
         return pa.table({n: pa.array([x], pa.int64()) for n, x in zip(_WORD_SUMS, sums, strict=True)})
@@ -568,7 +659,7 @@ def train(docs: DataFrame, order: int = ORDER, *, shard_bytes: int = SHARD_BYTES
     folder = Folder(shared_folder(spark, "ngrams"))
     atexit.register(folder.remove)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    shards = 1 << max(0, -(-size // shard_bytes) - 1).bit_length()
     layout = Layout(folder, order, shards, int(np.ceil(shards**WORD_POWER)), hot)
     texts = docs.select("text")
 
@@ -578,7 +669,7 @@ def train(docs: DataFrame, order: int = ORDER, *, shard_bytes: int = SHARD_BYTES
 
     with session_conf(spark, **{SHUFFLE_CLEANUP.replace(".", "__"): "true"}):
         counted = dealt(texts.mapInArrow(_word_pass(layout.word_shards), "shard long, h binary, c binary"), layout.word_shards)
-        found = counted.applyInArrow(_merge_vocabulary(folder), "shard long, n long, n_tokens long, n_words long").collect()
+        found = counted.applyInArrow(_merge_vocabulary(folder, hot), "shard long, n long, n_tokens long, n_words long").collect()
         if not found:
             return Model(layout)
         sizes = {r["shard"]: r["n"] for r in found}
@@ -589,9 +680,9 @@ def train(docs: DataFrame, order: int = ORDER, *, shard_bytes: int = SHARD_BYTES
 
         messages = texts.mapInArrow(_gram_pass(layout, 2), _MESSAGE)
         if order == 3:
-            partial = f"{folder.uri}/partial"
-            dealt(texts.mapInArrow(_gram_pass(layout, 3), _MESSAGE), shards).applyInArrow(_merge_trigrams(layout), _PARTIAL).write.parquet(partial)
-            told = spark.read.parquet(partial)
+            told_at = f"{folder.uri}/told"
+            dealt(texts.mapInArrow(_gram_pass(layout, 3), _MESSAGE), shards).applyInArrow(_merge_trigrams(layout), _PARTIAL).write.parquet(told_at)
+            told = spark.read.parquet(told_at)
             s = told.agg(*[F.sum(k).alias(k) for k in _SUMS]).first()
             model.discounts[3] = discounts(*(s[k] or 0 for k in _SUMS[:4]))
             dealt(told.filter(F.col("kind").isin(AFTER, AFTER_TOO)).drop(*_SUMS), shards).applyInArrow(_merge_hot(layout), "n long").agg(F.sum("n")).collect()
@@ -628,7 +719,9 @@ class Scorer:
         folder = model.layout.folder
         if model.n_tokens:
             self.words = Words(model.layout, cache)
-            self.files = {k: _Files(folder, k, cache, Packed) for k in ("trigrams", "after", "hot", "bigrams")}
+            bits = model.layout.bits
+            kinds = {"trigrams": (Packed, 0), "bigrams": (Packed, bits), "after": (PackedAfter, bits), "hot": (PackedAfter, bits)}
+            self.files = {k: _Files(folder, k, cache, partial(made, bits=b)) for k, (made, b) in kinds.items()}
 
     def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
         """n_tokens, n_known, base score and log10 probability of every text."""
@@ -646,40 +739,48 @@ class Scorer:
         m, layout = self.m, self.m.layout
         if not m.n_tokens:
             return np.zeros(len(w), np.int64), np.ones(len(w))
-        w, v, u = _numbered(w, self.words)
-        ids, of = np.unique(np.concatenate([w, v]), return_inverse=True)
-        count, (kinds, *after) = self.words.counts(ids), self.words.around(ids)
-        of_w, of_v = of[: len(w)], of[len(w) :]
+        uniq, of = np.unique(np.append(w, START), return_inverse=True)
+        ids, count = self.words.find(uniq)
+        kinds, *after = self.words.around(ids)
+        of_w, start = of[:-1], of[-1]
+        of_v = np.concatenate([[start], np.where(w[:-1] == END, start, of_w[:-1])])
         spare = sum(a * b for a, b in zip(m.discounts[1], m.kinds, strict=True)) / m.n_pairs
         p = (_cut(kinds, m.discounts[1]) / m.n_pairs + spare / (m.n_words + 1))[of_w]
 
-        n = np.zeros(len(w), np.int64)
-        known = np.flatnonzero((v >= 0) & (w >= 0))
-        pairs, back = np.unique(pair_of(v[known], w[known]), return_inverse=True)
-        key = _mix(pairs)
-        n[known] = self.files["bigrams"].find(key, shard_of(key, layout.shards), 1)[0][back]
+        w_ids, v_ids = ids[of_w], ids[of_v]
+        known = (v_ids >= 0) & (w_ids >= 0)
+        # by hash, so that shards come one after the other; unknown pairs get a hash that is looked up in vain
+        key, back = np.unique(_mix(pair_of(np.where(known, v_ids, 0), np.where(known, w_ids, 0))), return_inverse=True)
+        shard = shard_of(key, layout.shards)
+        seen = self.files["bigrams"].find(key, shard, 1)[0]
+        n = np.where(known, seen[back], 0)
         p = _interpolated(n, [x[of_v] for x in after], m.discounts[2], p)
         if layout.order == 2:
             return count[of_w], p
 
-        inner = np.flatnonzero((u >= 0) & (v >= 0))
-        pairs, back = np.unique(pair_of(u[inner], v[inner]), return_inverse=True)
-        key, hot = _mix(pairs), self.words.hot(pairs)
-        shard = shard_of(key, layout.shards)
-        after = [np.zeros(len(pairs), np.int64) for _ in range(4)]
-        for kind, chosen in (("after", ~hot), ("hot", hot)):
-            for a, x in zip(after, self.files[kind].find(key[chosen], shard[chosen], 4), strict=True):
-                a[chosen] = x
+        # the two words before a token are the pair that ends at the token before it
+        inner = np.flatnonzero((of_v != start) & np.concatenate([[False], known[:-1]]))
+        context, last = back[inner - 1], w_ids[inner]
+        pairs = np.zeros(len(key), np.uint64)
+        pairs[back[known]] = pair_of(v_ids[known], w_ids[known])
+        hot = self.words.hot(pairs)
+        after = self.files["after"].find(key, shard, 4)
+        if hot.any():
+            for a, x in zip(after, self.files["hot"].find(key[hot], shard[hot], 4), strict=True):
+                a[hot] = x
+        once = (after[0] == 0) & (seen > 0)
+        after[0][once] = after[1][once] = 1
+        asked = np.flatnonzero((last >= 0) & (after[0][context] > 0))
+        rows, back = np.unique(pair_of(context[asked], last[asked]), return_inverse=True)
+        own = (rows >> _HALF).astype(np.int64)
+        triples = triple_key(key[own], rows & _LOW)
+        where = np.where(hot[own], shard_of(triples, layout.shards), shard[own])
+        order = np.lexsort((triples, where))
+        found = np.empty(len(rows), np.int64)
+        found[order] = self.files["trigrams"].find(triples[order], where[order], 1)[0]
         n = np.zeros(len(inner), np.int64)
-        known = np.flatnonzero((w[inner] >= 0) & (after[0][back] > 0))
-        _, at, last, _ = grams = _counted(back[known], w[inner][known])
-        own = np.unique(back[known])
-        triples = triple_key(key[own][at], last)
-        where = np.where(hot[own][at], shard_of(triples, layout.shards), shard[own][at])
-        found = self.files["trigrams"].find(triples, where, 1)[0]
-        order = grams[1].astype(np.uint64) << _HALF | last
-        n[known] = found[np.searchsorted(order, pair_of(np.searchsorted(own, back[known]), w[inner][known]))]
-        p[inner] = _interpolated(n, [x[back] for x in after], m.discounts[3], p[inner])
+        n[asked] = found[back]
+        p[inner] = _interpolated(n, [x[context] for x in after], m.discounts[3], p[inner])
         return count[of_w], p
 
     def _block(self, parts: list[np.ndarray]) -> list[tuple[int, int, float, float]]:

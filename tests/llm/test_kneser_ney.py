@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
 import pytest
 
 from onoma.llm import kneser_ney as kn
@@ -109,18 +110,38 @@ def test_nothing_to_learn(spark):
 
 def test_packed_arrays():
     rng = random.Random(1)
-    import numpy as np
-
-    keys = np.array(sorted({rng.getrandbits(64) for _ in range(5000)}), np.uint64)
+    keys = np.array(sorted({rng.getrandbits(61) for _ in range(5000)}), np.uint64)
+    keys = np.concatenate([keys, keys[:50] ^ np.uint64(1 << 25)])  # the same first 32 bits
     counts = [np.array([rng.choice([1, 2, 254, 255, 256, 10**12]) for _ in keys]) for _ in range(2)]
-    got = kn.Packed(np.frombuffer(b"".join(kn.packed(keys, counts)), np.uint8))
+    raw = lambda parts: np.frombuffer(b"".join(parts), np.uint8)
+    got = kn.Packed(raw(kn.packed(keys, counts, 3)), 3)
     assert all((x == y).all() for x, y in zip(got.find(keys), counts, strict=True))
-    other = np.array([rng.getrandbits(64) for _ in range(1000)], np.uint64)
+    other = np.array([rng.getrandbits(61) for _ in range(1000)], np.uint64)
     assert not got.find(other)[0].any()
-    none = kn.Packed(np.frombuffer(b"".join(kn.packed(keys[:0], [counts[0][:0]])), np.uint8))
+    none = kn.Packed(raw(kn.packed(keys[:0], [counts[0][:0]], 3)), 3)
     assert none.n == 0
+    after = [np.array([rng.choice([0, 1, 3, 4, 62, 63, 300, 10**10]) for _ in keys]) for _ in range(4)]
+    after[0] = np.where((after[1] < 63) & (after[2] < 4) & (after[3] == 0), after[1] + 2 * after[2], after[0])
+    found = kn.PackedAfter(raw(kn.packed_after(keys, after, 3)), 3)
+    assert all((x == y).all() for x, y in zip(found.find(keys), after, strict=True)) and not any(x.any() for x in found.find(other))
 
 
 def test_order(spark):
     with pytest.raises(ValueError, match="order"):
         kn.train(spark.createDataFrame([], "text string"), 4)
+
+
+def test_tokens_of_long_texts(monkeypatch):
+    text = "The the\x0bÉ  " + "word " * 50 + "x" * 90 + " Tail\ttail y" + "Z" * 90
+    short = kn.tokens(text).tolist()
+    assert len(short) == 58 and short[-1] == kn.END and short[0] == short[1] and short[54] == short[55] and len(set(short)) == 7
+    monkeypatch.setattr(kn, "MOST_BYTES", 64)
+    pieces = kn.tokens(text).tolist()
+    # all but the two long words have the hashes that they have in one piece
+    assert [k for k in range(58) if pieces[k] != short[k]] == [53, 56] and len(set(pieces)) == 7
+    assert pieces[53] == kn.tokens("X" * 90)[0]
+
+
+def test_hashes_are_different():
+    words = {f"{a}{b}" for a in range(300) for b in ("", "a", "b", "ab", "ba", "é")} | {"a" * k for k in range(1, 200)} | {"ab" * k + "ba" * j for k in range(9) for j in range(1, 9)}
+    assert len(set(kn.tokens(" ".join(sorted(words))).tolist())) == len(words) + 1
