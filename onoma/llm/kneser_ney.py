@@ -43,8 +43,8 @@ WORD_POWER = 0.6
 HOT = 500_000
 #: Partitions for each shard, so that hardly any task gets several.
 SPREAD = 2
-#: Files that a worker keeps mapped at a time.
-MAPPED_FILES = 2048
+#: Files of a kind that a worker keeps mapped at a time: its memory does not grow with the model.
+MAPPED_FILES = 16
 #: Bytes of text that are hashed at a time; longer words are hashed alone.
 MOST_BYTES = 1 << 20
 BASE = 0x9FB21C651E98DF27
