@@ -76,8 +76,9 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 def set_names(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit names of a whole set: the one it goes by, and one that tells sets of one name apart."""
-    total, folded = (s * _M2).sum() ^ np.uint64(len(s)), np.bitwise_xor.reduce(_mix(s))
-    x = _mix(np.array([total ^ _mix(folded[None])[0], folded + _M1 * total], np.uint64)).view(np.int64)
+    total = (s * _M2).sum(keepdims=True) ^ np.uint64(len(s))
+    folded = np.bitwise_xor.reduce(_mix(s), keepdims=True)
+    x = _mix(np.concatenate([total ^ _mix(folded), folded + _M1 * total])).view(np.int64)
     return int(x[0]), int(x[1])
 
 
