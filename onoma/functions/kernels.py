@@ -1,13 +1,13 @@
 """Kernels that Spark has no built-in for, as plain Python functions and as Arrow UDFs.
 
-The UDFs work on whole Arrow batches and compute each distinct input of a batch once.
+The UDFs work on whole Arrow batches and compute each distinct input of a batch once; those that meet whole
+texts work a batch off in pieces and hand each on before the next.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from onoma.functions import vocab
 
 MEMO = 50_000
+#: Parts of names, and bytes of text, that a piece of a batch holds, unless a single row has more.
+PIECE_PARTS, PIECE_BYTES = 200_000, 2_000_000
 
 
 def fold_diacritics(text: str) -> str:
@@ -137,22 +139,6 @@ def metaphone_codes(token: str) -> tuple[str, ...]:
     return tuple(sorted({metaphone(token), *filter(None, map(metaphone, other))}))
 
 
-@lru_cache(1)
-def _lexicon() -> dict[str, str]:
-    return vocab.spelling_lexicon()
-
-
-@lru_cache(MEMO)
-def canonical_token(token: str) -> str:
-    """Spelling class of the token, or of its folded form, or else the folded form (see native.canonical_token)."""
-    if token in _lexicon():
-        return _lexicon()[token]
-    folded = re.sub(r"(.)\1+", r"\1", token)
-    if len(folded) > 3 and folded[-1] in "hyed":
-        folded = folded[:-1]
-    return _lexicon().get(folded, folded)
-
-
 def _each(fn: Callable, *columns: Iterable) -> list:
     """fn over rows, once per distinct row; None where an input is None."""
     memo: dict = {}
@@ -167,9 +153,21 @@ def _each(fn: Callable, *columns: Iterable) -> list:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def fold_diacritics_udf(s: pd.Series) -> pd.Series:
-    return pd.Series(_each(fold_diacritics, s), dtype=object)
+def _pieces(batch: pa.Array, length: Callable[[pa.Array], pa.Array], most: int) -> Iterator[pa.Array]:
+    """The batch in runs of whole rows, whose lengths add up to ``most`` or which are one row. Nothing is copied."""
+    ends = np.cumsum(pc.fill_null(length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, to - at)
+        at, done = to, ends[to - 1]
+
+
+@F.arrow_udf(T.StringType())
+def fold_diacritics_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for piece in _pieces(batch, pc.binary_length, PIECE_BYTES):
+            yield pa.array(_each(fold_diacritics, piece.to_pylist()), pa.string())
 
 
 @F.pandas_udf(T.StringType())
@@ -217,51 +215,88 @@ NAME_TOKENS = T.StructType(
         T.StructField("unreadable", T.ArrayType(T.StringType())),
     ]
 )
-_QUALIFIERS = {*vocab.SLASH_QUALIFIERS, *vocab.SPELLED_QUALIFIERS}
-_DROPPED = {*vocab.HONORIFICS, *vocab.SUFFIXES, *vocab.NOISE}
+_SLASHED = pa.array(vocab.SLASH_QUALIFIERS, pa.string())
+_QUALIFIERS = pa.array([*vocab.SLASH_QUALIFIERS, *vocab.SPELLED_QUALIFIERS], pa.string())
+_DROPPED = pa.array([*vocab.HONORIFICS, *vocab.SUFFIXES, *vocab.NOISE], pa.string())
 
 
-def token_key(part: str) -> str:
-    """What a blank-separated part of a lower-cased name is compared by: letters and digits, or a slash marker."""
-    return part if part in vocab.SLASH_QUALIFIERS else re.sub("[^a-z0-9]+", "", part)
-
-
-@F.arrow_udf(NAME_TOKENS)
-def name_tokens_udf(parts: pa.Array) -> pa.Array:
-    """Parts of a name to its tokens and what was left out, see normalize.with_normalized.
-
-    Strings are only looked at once for each distinct part of a batch; the rest are array operations
+@lru_cache(1)
+def _lexicon_arrays() -> tuple[pa.Array, pa.Array]:
+    found = vocab.spelling_lexicon()
+    return pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.string())
+
+
+def _generic_folds(keys: pa.Array) -> pa.Array:
+    """The folded form (see native.generic_fold) of each ASCII key: runs to one letter, then no h, y, e or d at the end of over three."""
+    ends = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    text = np.frombuffer(keys.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    stays = np.ones(len(text), bool)
+    stays[1:] = text[1:] != text[:-1]
+    stays[ends[:-1][ends[1:] > ends[:-1]]] = True
+    text, ends = text[stays], np.concatenate([[0], np.cumsum(stays)])[ends]
+    last = ends[1:][np.diff(ends) > 3] - 1
+    last = last[np.isin(text[last], np.frombuffer(b"hyed", np.uint8))]
+    stays = np.ones(len(text), bool)
+    stays[last] = False
+    text, ends = text[stays], np.concatenate([[0], np.cumsum(stays)])[ends]
+    return pa.StringArray.from_buffers(len(keys), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(text))
+
+
+def canonical_tokens(keys: pa.Array) -> pa.Array:
+    """Spelling class of each ASCII key, or of its folded form, or else the folded form (see native.canonical_token)."""
+    known, classes = _lexicon_arrays()
+    folded = _generic_folds(keys)
+    return pc.coalesce(classes.take(pc.index_in(keys, known)), classes.take(pc.index_in(folded, known)), folded)
+
+
+def name_tokens(parts: pa.Array) -> pa.Array:
+    """Parts of names to their tokens and what was left out, see normalize.with_normalized.
+
+    Strings are only looked at once for each distinct part, as whole arrays; the rest are array operations
     over part numbers.
     """
     words = parts.flatten().dictionary_encode()
-    text = words.dictionary.to_pylist()
-    keys = [token_key(w) for w in text]
-    flag = lambda test: np.array([bool(test(w, k)) for w, k in zip(text, keys, strict=True)], bool)
+    text = words.dictionary.cast(pa.string())
+    # what a part is compared by: letters and digits, or a slash marker
+    keys = pc.if_else(pc.is_in(text, _SLASHED), text, pc.replace_substring_regex(text, "[^a-z0-9]+", ""))
+    bits = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
     at = words.indices.to_numpy(zero_copy_only=False)
     size = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(size)), size)
     first = np.cumsum(size) - size
 
-    filled = flag(lambda w, k: k)[at]
-    seen = np.concatenate([[0], np.cumsum(flag(lambda w, k: k in _QUALIFIERS)[at])])
+    length = pc.binary_length(keys).to_numpy(zero_copy_only=False)
+    filled = (length > 0)[at]
+    seen = np.concatenate([[0], np.cumsum(bits(pc.is_in(keys, _QUALIFIERS))[at])])
     related = seen[1:] > seen[first[row]]  # the qualifier and all after it
-    stays = filled & ~related & ~flag(lambda w, k: k in _DROPPED)[at]
-    unreadable = flag(lambda w, k: any(c.isalpha() and not c.isascii() for c in w))[at]
+    stays = filled & ~related & ~bits(pc.is_in(keys, _DROPPED))[at]
+    foreign = ~bits(pc.string_is_ascii(text))
+    foreign[foreign] = [any(c.isalpha() and not c.isascii() for c in w) for w in text.filter(pa.array(foreign)).to_pylist()]
+    unreadable = foreign[at]
 
     def lists(values: pa.Array, chosen: np.ndarray) -> pa.ListArray:
         ends = np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=len(size)))])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
-    def of(forms: list[str], chosen: np.ndarray) -> pa.ListArray:
-        return lists(pa.array(forms, pa.string()).take(pa.array(at[chosen])), chosen)
+    def of(forms: pa.Array, chosen: np.ndarray) -> pa.ListArray:
+        return lists(forms.take(pa.array(at[chosen])), chosen)
 
     kept = np.concatenate([[0], np.cumsum(stays)])
     place = (kept[:-1] - kept[first[row]]).astype(np.int32)
-    initial = stays & flag(lambda w, k: len(k) == 1 and k.isalpha())[at]
-    columns = [of(keys, stays), of([canonical_token(k) for k in keys], stays), of(keys, filled & ~stays), lists(pa.array(place[initial]), initial), of(text, unreadable)]
+    initial = stays & ((length == 1) & bits(pc.utf8_is_alpha(keys)))[at]
+    columns = [of(keys, stays), of(canonical_tokens(keys), stays), of(keys, filled & ~stays), lists(pa.array(place[initial]), initial), of(text, unreadable)]
     return pa.StructArray.from_arrays(columns, NAME_TOKENS.names)
 
 
+@F.arrow_udf(NAME_TOKENS)
+def name_tokens_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """name_tokens of every row. The tables of a piece are freed before the next, so that a worker holds its input and little more."""
+    for batch in batches:
+        for piece in _pieces(batch, pc.list_value_length, PIECE_PARTS):
+            yield name_tokens(piece)
+
+
 PAIR_KERNELS = T.StructType(
     [
         T.StructField("jw_sorted", T.DoubleType()),
